@@ -32,7 +32,7 @@ N_HASHES, BAND_ROWS = 160, 5
 BATCH = 32
 #: A pair goes when the posterior probability of reaching the threshold is under this.
 MISS = 1e-7
-#: Leaders per bucket, and most members of a block of the second comparison.
+#: Leaders per bucket, and members on each side of a block of the second comparison, about.
 PARTS, BLOCK = 64, 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -162,23 +162,33 @@ def _compare(bounds: list[tuple[int, int]]):
     return run
 
 
-def _compare_block(bounds: list[tuple[int, int]]):
-    """Pairs of a block whose components differ and that survive the posterior."""
+def _alike(p: bytes, q: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _compare_block(bounds: list[tuple[int, int]], percent: int):
+    """Links between the vectors of side 0 and side 1 of a block, as many as join its components: of
+    pairs in different components those that survive the posterior are verified on their sets, and
+    a link found joins its components for the rest of the block."""
 
     def run(table: pa.Table) -> pa.Table:
         sig = _signature_matrix(table.column("signature").combine_chunks())
+        sets = table.column("shingles").to_pylist()
         ids, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "side"))
-        same = bool((table.column("i").to_numpy() == table.column("j").to_numpy()).all())
+        comp = comp.copy()
         us, vs = [], []
-        rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-        for i in rows:
-            other = cols[(comp[cols] != comp[i]) & ((ids[cols] < ids[i]) | (not same))]
+        cols = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            other = cols[comp[cols] != comp[i]]
             if len(other):
-                keep = other[sequential(np.broadcast_to(sig[i], (len(other), N_HASHES)), sig[other], bounds)]
-                us.append(np.full(len(keep), ids[i]))
-                vs.append(ids[keep])
-        u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": u, "v": v})
+                for j in other[sequential(np.broadcast_to(sig[i], (len(other), N_HASHES)), sig[other], bounds)]:
+                    if comp[j] != comp[i] and _alike(sets[i], sets[j], percent):
+                        us.append(ids[i])
+                        vs.append(ids[j])
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -195,26 +205,12 @@ def _sets(k: int):
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(a, b, strict=True)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield batch.select(["u", "v"]).filter(pa.array(ok))
+            ok = [_alike(p, q, percent) for p, q in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; only the texts in a pair become sets."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary"))
-    sets = sets.distinct()  # repeated rows of one document
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-    return both.mapInArrow(_exact(percent), "u long, v long").distinct()
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """One row per row of ``docs (doc_id long, text string, ...)``: doc_id, n_shingles,
     component_id (smallest doc_id reachable by links, itself included) and kept.
@@ -246,20 +242,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     pairs = small.unionByName(large).unionByName(top).where("u <> v").distinct()
     sig = reps.select(F.col("rep").alias("u"), F.col("signature").alias("sig_u"))
     survivors = cut(pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_compare(bounds), "u long, v long"))
-    links = cut(_verified(survivors, docs, shingle, percent))
+    # The full sets, of representatives in a pair or in a bucket of more than two.
+    ids = survivors.select("u").unionByName(survivors.select(F.col("v").alias("u"))).unionByName(members.where("n > 2").select(F.col("rep").alias("u"))).distinct()
+    sets = cut(docs.join(ids, F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary")).distinct()
+    both = survivors.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
+    links = cut(both.mapInArrow(_exact(percent), "u long, v long").distinct())
     comps = cut(components(links))
 
-    # Buckets whose members are still in different components: all such pairs, in blocks.
-    known = members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = known.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = spread.join(reps, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare_block(bounds), "u long, v long").distinct()
-    more = cut(more.join(survivors, ["u", "v"], "left_anti").join(survivors.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        new = cut(_verified(more, docs, shingle, percent))
-        if not new.isEmpty():
-            comps = components(cut(links.unionByName(new)))
+    # Buckets whose members are still in different components: those outside the bucket's main
+    # component (side 0) with all (side 1), in blocks.
+    known = cut(members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    split = known.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    split = split.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.c")) / BLOCK).cast("long").alias("i_blocks"), F.ceil(F.col("n") / BLOCK).cast("long").alias("j_blocks"))
+    rest = known.join(split, "bucket")
+    to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
+    left = rest.where("component <> main").select("bucket", "rep", "component", own("i_blocks").alias("i"), to("j_blocks").alias("j"), F.lit(0).alias("side"))
+    right = rest.select("bucket", "rep", "component", to("i_blocks").alias("i"), own("j_blocks").alias("j"), F.lit(1).alias("side"))
+    full = reps.join(sets.withColumnRenamed("id", "rep"), "rep")
+    new = left.unionByName(right).join(full, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare_block(bounds, percent), "u long, v long")
+    new = cut(new.distinct())
+    if not new.isEmpty():
+        comps = components(links.unionByName(new))
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
