@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small
 
 #: Rows of a key range, about.
 RANGE_ROWS = 20_000
-#: Rows that a table of sources or ranges may have to be broadcast.
-BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,11 +58,6 @@ def targets(sizes: DataFrame, weights: list[float], total: float | None = None,
     return ranked.withColumn("share", level * F.col("weight")).select("source", "source_size", F.when(F.col("share") < F.col("cap"), F.col("share")).otherwise(F.col("cap")).alias("target"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table whose rows have been counted, up to a fixed number of them."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def plan(docs: DataFrame, weights: list[float], seed: str = "mix", most: int = 3, total: float | None = None, size: Column | None = None, quality: Column | None = None, range_rows: int = RANGE_ROWS, split_last: bool = False) -> DataFrame:
     """One row per row of ``docs (doc_id, text, source, ...)``: doc_id, source, tie (a hash of the
     text), size, source_size, target, copies and taken (words: copies * size).
@@ -86,12 +79,12 @@ def plan(docs: DataFrame, weights: list[float], seed: str = "mix", most: int = 3
     goal = targets(sizes.select("source", "source_size"), weights, total, most).select(F.col("source").alias("_goal"), "target")
     named = cut(sizes.join(goal, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal").withColumnRenamed("source", "_source"))
     # Ranges of the key: 1 - exp(-key * mean rate) spreads exponential keys evenly over (0, 1), in their order.
-    keyed = facts.join(_small(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    keyed = facts.join(small(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranges = F.ceil(F.col("rows") / range_rows)
     keyed = keyed.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("rate"))) * ranges), ranges - 1))
     sums = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range")))
     start = sums.withColumn("start", F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")).select(F.col("source").alias("_source"), F.col("range").alias("_range"), "start")
-    joined = keyed.join(_small(start), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source", "_range")
+    joined = keyed.join(small(start), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source", "_range")
     inner = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     out = joined.withColumn("upto", F.col("start") + F.sum("size").over(inner))
     out = out.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))

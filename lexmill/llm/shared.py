@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marked to be broadcast if its rows, counted, are no more than ``rows``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each hold about ``chars`` bytes (a longer text stands alone)."""
     for batch in batches:
@@ -87,16 +92,21 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, k: int, mult: int = 6364136223846793005) -> np.ndarray:
-    """A hash of each ``k`` consecutive entries of ``h``."""
+    """A hash of each ``k`` consecutive entries of ``h``: a polynomial in ``mult``, put together
+    from hashes of 1, 2, 4, ... entries."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    m = np.uint64(mult)
-    for j in range(k):
-        out *= m
-        out += h[j : j + n]
-    return mix64(out)
+    part, width, out, done = h.astype(np.uint64), 1, None, 0
+    while True:
+        if k & width:
+            m = len(part) if out is None else min(len(part), len(out) - width)
+            out = part if out is None else part[:m] * np.uint64(pow(mult, done, 2**64)) + out[width : width + m]
+            done += width
+        if done == k:
+            return mix64(out[:n])
+        part = part[: len(part) - width] * np.uint64(pow(mult, width, 2**64)) + part[width:]
+        width *= 2
 
 
 def starts_within(offsets: np.ndarray, k: int) -> np.ndarray:
