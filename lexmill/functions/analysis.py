@@ -11,8 +11,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,8 +84,8 @@ def positions(tokens: Sequence[Token]) -> list[tuple[str, int]]:
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC of a column, batch by batch in Arrow."""
-    return pc.utf8_normalize(pa.array(texts, pa.string()), form="NFKC").to_pandas()
+    """NFKC of a column; ASCII texts are in it already."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def utf16(text: str) -> list[int]:

@@ -48,8 +48,10 @@ def _is_zero(value: object) -> bool:
     return isinstance(value, float) and value == 0.0
 
 
-def _negative_zero(f: Field) -> Column:
-    return f.column.cast("string").startswith("-")
+def _zero(f: Field, minus: bool) -> Column:
+    """Whether a value is the zero of that sign. No equality here: the optimizer would put its constant in the cast's place."""
+    zero = (f.column >= 0.0) & (f.column <= 0.0)
+    return _sure(zero & (f.column.cast("string").startswith("-") == F.lit(minus)))
 
 
 @dataclass(frozen=True)
@@ -58,11 +60,9 @@ class Equal(Query):
     value: object
 
     def column(self) -> Column:
-        same = self.field.column.eqNullSafe(F.lit(self.value))
         if _is_zero(self.value):  # -0.0 and 0.0 are different values
-            minus = math.copysign(1.0, self.value) < 0  # type: ignore[arg-type]
-            same = same & (_sure(_negative_zero(self.field)) == F.lit(minus))
-        return same
+            return _zero(self.field, math.copysign(1.0, self.value) < 0)  # type: ignore[arg-type]
+        return self.field.column.eqNullSafe(F.lit(self.value))
 
     def fields(self) -> list[Field]:
         return [self.field]
@@ -98,12 +98,12 @@ class Between(Query):
             return _sure((c.isNotNull()) & F.array_position(order, c).between(at[low], at[high]))
         if isinstance(low, str) and any(ch > "퟿" for ch in f"{low}{high}"):
             return _sure((_utf16(c) >= _utf16(F.lit(low))) & (_utf16(c) <= _utf16(F.lit(high))))
-        inside = (c >= F.lit(low)) & (c <= F.lit(high))
+        inside = c.isNotNull() & (c >= F.lit(low)) & (c <= F.lit(high))  # never null, and pushed to the scan
         if _is_zero(low) and math.copysign(1.0, low) > 0:  # type: ignore[arg-type]
-            inside = inside & ~((c == 0) & _negative_zero(self.field))
+            inside = inside & ~_zero(self.field, True)
         if _is_zero(high) and math.copysign(1.0, high) < 0:  # type: ignore[arg-type]
-            inside = inside & ~((c == 0) & ~_negative_zero(self.field))
-        return _sure(inside)
+            inside = inside & ~_zero(self.field, False)
+        return inside
 
     def fields(self) -> list[Field]:
         return [self.field]
@@ -121,7 +121,7 @@ class Prefix(Query):
             raise InvalidArgument("a prefix is needed")
 
     def column(self) -> Column:
-        return _sure(self.field.column.startswith(self.prefix))
+        return self.field.column.isNotNull() & self.field.column.startswith(self.prefix)
 
     def fields(self) -> list[Field]:
         return [self.field]
