@@ -47,7 +47,7 @@ def doc_freq(posted: DataFrame) -> DataFrame:
 def corpus_stats(df: DataFrame, f: TextField) -> DataFrame:
     """One row (n_docs, total_length, avgdl): documents with a token, and their tokens."""
     dl = df.select(F.size(f.analyzer.column(f.column)).cast("long").alias("dl"))
-    return dl.agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length")).withColumn("avgdl", F.col("total_length") / F.col("n_docs"))
+    return dl.agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length")).withColumn("avgdl", F.coalesce(F.try_divide("total_length", "n_docs"), F.lit(0.0)))
 
 
 def statistics(df: DataFrame, wanted: dict[TextField, list[str]]) -> dict[TextField, Statistics]:
