@@ -3,9 +3,9 @@
 Three base patterns are strong enough to be reported alone. Weak parts are not: an access
 identifier (``client_id = ...``, ``user: ...``), a secret (a short assignment, or a token of
 mixed letters and digits) or an endpoint (a URL, ``host: ...``). A weak part is reported only
-when a part of another role begins within its scope, ``SCOPE`` code points around it; base
+when a part of another role reaches into its scope, ``SCOPE`` code points around it; base
 findings count as parts too. That is an interval join of the parts of a text with each other,
-done as an equality join on the scope-sized cell a part is in and its neighbours.
+done as an equality join on the scope-sized cells that a part and a scope cover.
 """
 
 from __future__ import annotations
@@ -20,20 +20,34 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Base kinds in their listed order, with role.
 BASE = ("assign", "access", "hex")
-#: Weak kinds: pattern and what a text must contain to be looked at.
+#: Weak kinds: pattern, and what a text must contain to be looked at.
 WEAK = {
-    "client": (r"""\b(?i:client_id|access_id|account_id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", r"(?i)(?:_id|user|username|login)[\"']?\x20*[:=]"),
-    "phrase": (r"""\b(?i:password|passwd|secret|token|api_?key|pwd|pass)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,7}(?![A-Za-z0-9+/_.=-])""", r"(?i)(?:passw|secret|token|key|pwd|pass)[a-z\"']*\x20*[:=]"),
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}", r"[A-Za-z0-9+/_=-]{24,}"),
-    "endpoint": (r"""\b(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,})""", r"://|(?i)(?:host|endpoint|server)[\"']?\x20*[:=]"),
+    "client": (r"""(?i:client_id|access_id|account_id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", r"(?i)(?:_id|user|username|login)[\"']?\x20*[:=]"),
+    "phrase": (r"""(?i:password|passwd|secret|token|api_?key|pwd|pass)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i)(?:passw|secret|token|key|pwd|pass)[a-z\"']*\x20*[:=]"),
+    "opaque": (r"[A-Za-z0-9+/_=-]{24,}", r"[A-Za-z0-9+/_=-]{24,}"),
+    "endpoint": (r"""[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}""", r"://|(?i)(?:host|endpoint|server)[\"']?\x20*[:=]"),
 }
+
+
+def weak_enough(kind: str):
+    """What a weak kind's match must be, besides matching: a phrase's value of 4 to 7 characters; letters and digits in an opaque token."""
+    if kind == "phrase":
+        return lambda hit: F.length(F.regexp_extract(hit, WEAK["phrase"][0], 1)).between(4, 7)
+    if kind == "opaque":
+        return lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
+    return None
+
+
 #: What each kind is part of: an identifier, a secret or an endpoint.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "phrase": "secret", "opaque": "secret", "endpoint": "endpoint"}
 KINDS = (*BASE, *WEAK)
-#: Code points before or behind a part in which its complement may begin.
+#: Code points before or behind a part that its complement must reach into.
 SCOPE = 200
 SPAN = "array<struct<begin:int,finish:int,kind:int>>"
-NONE = F.array().cast(SPAN)
+
+
+def none() -> Column:
+    return F.array().cast(SPAN)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -42,13 +56,13 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), NONE.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
         finish = begin + s["len"]
         one = F.array(F.struct(begin.alias("begin"), finish.alias("finish"), F.lit(kind).alias("kind")))
-        found = F.concat(acc["out"], one if keep is None else F.when(keep(s["hit"]), one).otherwise(NONE))
+        found = F.concat(acc["out"], one if keep is None else F.when(keep(s["hit"]), one).otherwise(none()))
         return F.struct(finish.alias("at"), found.alias("out"))
 
     return F.aggregate(steps, zero, step, lambda acc: acc["out"])
@@ -57,15 +71,15 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns, by begin and then kind as listed."""
     long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8
-    assign = F.when(text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), _spans(text, ASSIGN, 0, long_value)).otherwise(NONE)
-    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(NONE)
-    hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(NONE)
-    return F.when(text.isNull(), NONE).otherwise(_ordered(F.concat(assign, access, hexes)))
+    assign = F.when(text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), _spans(text, ASSIGN, 0, long_value)).otherwise(none())
+    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(none())
+    hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(none())
+    return F.when(text.isNull(), none()).otherwise(_ordered(F.concat(assign, access, hexes)))
 
 
 def weak_spans(text: Column) -> Column:
-    found = [F.when(text.rlike(test), _spans(text, pattern, KINDS.index(kind))).otherwise(NONE) for kind, (pattern, test) in WEAK.items()]
-    return F.when(text.isNull(), NONE).otherwise(F.concat(*found))
+    found = [F.when(text.rlike(test), _spans(text, pattern, KINDS.index(kind), weak_enough(kind))).otherwise(none()) for kind, (pattern, test) in WEAK.items()]
+    return F.when(text.isNull(), none()).otherwise(F.concat(*found))
 
 
 def _ordered(spans: Column) -> Column:
@@ -100,12 +114,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = lambda column: weak.select("doc_id", "whole", F.explode(column).alias("s")).select("doc_id", "whole", "s", F.element_at(roles, F.col("s.kind") + 1).alias("role"))
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["begin"] < b["finish"]) & (b["begin"] < w["finish"])))
     left = part(free).withColumn("cell", F.explode(F.sequence(F.floor((F.col("s.begin") - scope) / scope), F.floor((F.col("s.finish") + scope) / scope))))
-    right = part(F.concat("base", "weak")).select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("s.begin").alias("_begin"), F.col("role").alias("_role"), F.floor(F.col("s.begin") / scope).alias("_cell")).distinct()
-    near = (F.col("_begin") >= F.col("s.begin") - scope) & (F.col("_begin") <= F.col("s.finish") + scope)
+    right = part(F.concat("base", "weak")).select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("s.begin").alias("_begin"), F.col("s.finish").alias("_finish"), F.col("role").alias("_role"), F.explode(F.sequence(F.floor(F.col("s.begin") / scope), F.floor(F.col("s.finish") / scope))).alias("_cell"))
+    near = (F.col("_finish") >= F.col("s.begin") - scope) & (F.col("_begin") <= F.col("s.finish") + scope)
     linked = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole")) & (F.col("cell") == F.col("_cell")) & near & (F.col("role") != F.col("_role")), "left_semi")
     linked = linked.groupBy("doc_id", "whole").agg(F.collect_set("s").alias("linked")).withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
     out = found.join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole")), "left")
-    return out.select("doc_id", "tie", "base", _ordered(F.concat("base", F.coalesce("linked", NONE))).alias("spans"))
+    return out.select("doc_id", "tie", "base", _ordered(F.concat("base", F.coalesce("linked", none()))).alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
