@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import cut, small
 
 #: Rows of a key range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
