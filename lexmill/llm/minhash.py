@@ -101,9 +101,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures_of(x: np.ndarray, off: np.ndarray, n: int = N_HASHES) -> np.ndarray:
-    """A row of ``n`` 32-bit minima per text (all ones where the set is empty)."""
+    """A row of the low 16 bits of ``n`` minima per text (all ones where the set is empty). Equal minima
+    have equal bits; others do by chance once in 65536 rows, which never makes a pair look less similar."""
     a, b = _coefficients(n)
-    out = np.full((len(off) - 1, n), 2**32 - 1, np.uint32)
+    out = np.full((len(off) - 1, n), 2**16 - 1, np.uint16)
     full = np.flatnonzero(np.diff(off) > 0)
     y = (mix64(x) >> np.uint64(32)).astype(np.uint32)
     i = 0
@@ -113,7 +114,7 @@ def signatures_of(x: np.ndarray, off: np.ndarray, n: int = N_HASHES) -> np.ndarr
         part = y[off[some[0]] : off[some[-1] + 1]]
         at = off[some] - off[some[0]]
         for r in range(n):
-            out[some, r] = np.minimum.reduceat(part * a[r] + b[r], at)
+            out[some, r] = np.minimum.reduceat(part * a[r] + b[r], at).astype(np.uint16)
         i = j
     return out
 
@@ -136,7 +137,7 @@ def _sign(k: int):
 
 
 def _signature_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, N_HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, N_HASHES)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     survivors = cut(pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_compare(bounds), "u long, v long"))
     # The full sets, of representatives in a pair or in a bucket of more than two.
     ids = survivors.select("u").unionByName(survivors.select(F.col("v").alias("u"))).unionByName(members.where("n > 2").select(F.col("rep").alias("u"))).distinct()
-    sets = cut(docs.join(ids, F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary")).distinct()
+    sets = cut(docs.join(ids, F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"))
     both = survivors.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
     links = cut(both.mapInArrow(_exact(percent), "u long, v long").distinct())
     comps = cut(components(links))
@@ -252,15 +253,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     # Buckets whose members are still in different components: those outside the bucket's main
     # component (side 0) with all (side 1), in blocks.
     known = cut(members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    split = known.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    split = split.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.c")) / BLOCK).cast("long").alias("i_blocks"), F.ceil(F.col("n") / BLOCK).cast("long").alias("j_blocks"))
-    rest = known.join(split, "bucket")
+    split = known.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
+    rest = cut(known.join(split, "bucket").select("main", "rep", "component").distinct())  # buckets of one main component together: each pair once
+    sizes = rest.groupBy("main").agg(F.ceil(F.count(F.when(F.col("component") != F.col("main"), 1)) / BLOCK).cast("long").alias("i_blocks"), F.ceil(F.count("*") / BLOCK).cast("long").alias("j_blocks"))
+    rest = rest.join(sizes, "main")
     to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
-    left = rest.where("component <> main").select("bucket", "rep", "component", own("i_blocks").alias("i"), to("j_blocks").alias("j"), F.lit(0).alias("side"))
-    right = rest.select("bucket", "rep", "component", to("i_blocks").alias("i"), own("j_blocks").alias("j"), F.lit(1).alias("side"))
+    left = rest.where("component <> main").select("main", "rep", "component", own("i_blocks").alias("i"), to("j_blocks").alias("j"), F.lit(0).alias("side"))
+    right = rest.select("main", "rep", "component", to("i_blocks").alias("i"), own("j_blocks").alias("j"), F.lit(1).alias("side"))
     full = reps.join(sets.withColumnRenamed("id", "rep"), "rep")
-    new = left.unionByName(right).join(full, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare_block(bounds, percent), "u long, v long")
+    new = left.unionByName(right).join(full, "rep").groupBy("main", "i", "j").applyInArrow(_compare_block(bounds, percent), "u long, v long")
     new = cut(new.distinct())
     if not new.isEmpty():
         comps = components(links.unionByName(new))
