@@ -25,8 +25,9 @@ from .shared import cut, mix64
 SAMPLE = 16_000
 #: Coarse lists at most; subspaces, codes in each.
 LISTS, SUBSPACES, CODES = 256, 16, 256
-#: Vectors of a cell, queries of a block; vectors reranked per query and cell for each neighbour asked for.
-CELL, BLOCK, RERANK = 4096, 1024, 6
+#: Vectors of a cell, queries of a block; vectors first reranked per query and cell for each neighbour asked for, and the
+#: standard deviations of the tables' error (a vector's quantisation error seen from a random side) within which others are reranked too.
+CELL, BLOCK, RERANK, SURE = 4096, 1024, 6, 2.5
 #: Share of the true neighbours that the probed lists of sample queries must hold.
 COVER = 0.985
 
@@ -158,6 +159,8 @@ def _search(held, k: int):
         np.put_along_axis(probed, index.probe(q), True, axis=1)
         near = (q @ index.centroids.T).astype(np.float32)
         tables = index.tables(q)
+        rest = x - index.centroids[lists] - np.concatenate([index.books[m][codes[:, m]] for m in range(codes.shape[1])], axis=1)
+        slack = (SURE * np.sqrt((rest * rest).sum(1) / x.shape[1])).astype(np.float32)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(q)):
             score = near[i, lists]
@@ -165,7 +168,12 @@ def _search(held, k: int):
                 score += tables[i, m, codes[:, m]]
             score[~probed[i, lists] | (ids == qid[i])] = -np.inf
             best = np.argsort(-score, kind="stable")[: RERANK * k]
-            best = np.sort(best[score[best] > -np.inf])
+            best = best[score[best] > -np.inf]
+            if len(best) >= k:
+                # What the tables may have put too low: all that their error could carry to the k-th best of these.
+                exact = (q[i] * x[best]).sum(1)
+                best = np.union1d(best, np.flatnonzero(score + slack * np.sqrt((q[i] * q[i]).sum()) >= np.partition(exact, -k)[-k]))
+            best = np.sort(best)
             exact = (q[i] * x[best]).sum(1)
             best_k = np.argsort(-exact, kind="stable")[:k]
             out.append((np.full(len(best_k), qid[i]), ids[best[best_k]], exact[best_k]))
