@@ -73,7 +73,7 @@ class _Task:
 
 
 class SearchEngine:
-    """``SearchEngine(spark, schema)`` lives in a temporary folder; with ``path`` it is durable.
+    """``SearchEngine(spark, schema)`` lives in a folder of its own under ``spark.checkpoint.dir``; with ``path`` it is durable.
 
     ``add``, ``update`` and ``remove`` return futures and are put together in micro-batches, in which one that fails
     leaves the others alone. ``add_all``, ``update_all`` and ``remove_all`` are atomic. ``apply_frame`` takes a whole
@@ -83,7 +83,7 @@ class SearchEngine:
     def __init__(self, spark: SparkSession, schema: SearchSchema, path: str | None = None, config: EngineConfig | None = None, storage_format: tuple[int, int] = (1, 2)):
         self.spark, self.schema, self.config = spark, schema, config or EngineConfig()
         self.id = uuid.uuid4().hex
-        self.store = SnapshotStore.open_store(spark, path or tempfile.mkdtemp(prefix="lexmill-store-") + "/store", schema, storage_format)
+        self.store = SnapshotStore.open_store(spark, path or _own_folder(spark), schema, storage_format)
         self.metrics_ = Metrics()
         self._builds: set[str] = set()
         self._queue: Queue[_Task] = Queue(self.config.queue_capacity)
@@ -100,14 +100,14 @@ class SearchEngine:
     # -- snapshots
 
     def _registry(self) -> IndexRegistry:
-        registry, df = IndexRegistry(), None
+        """Indexes as they are: a table built at an earlier version serves with what changed since, until the next checkpoint."""
+        registry = IndexRegistry()
         for name in sorted(self.store.indexes):
             field_name, _, kind = name.partition(":")
             d = IndexDefinition(self.schema.field(field_name), IndexType(kind))
-            df = self.store.at() if df is None else df
-            path, how = self.store.derived(name, self.store.version, d, df)
+            path, touched, how = self.store.derived(name, d)
             self.metrics_.warm_reopens += how == "warm"
-            registry.add(d, path)
+            registry.add(d, path, touched)
         return registry
 
     def _pin(self, registry: IndexRegistry) -> Searcher:
@@ -394,6 +394,11 @@ class SearchEngine:
         self.close()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """In the folder that the cluster shares; a local one only where none is named."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexmill-')}/store-{uuid.uuid4().hex}"
+
+
 def _value(document: object, name: str) -> object:
     if isinstance(document, dict):
         return document.get(name)

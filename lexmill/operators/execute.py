@@ -61,13 +61,26 @@ class Searcher:
     def matching(self, query: Query) -> DataFrame:
         query.check(self.schema)
         source = self.df
-        if self.mode is not PlanningMode.FORCE_SCAN and (path := layout_for(query, self.registry)):
-            source = self.df.sparkSession.read.parquet(path)
+        if self.mode is not PlanningMode.FORCE_SCAN and (layout := layout_for(query, self.registry)):
+            source = self.df.sparkSession.read.parquet(layout[0]).select(*self.df.columns)
+            if layout[1] is not None:
+                source = self._changed(source, layout[1], "left_anti").unionByName(self._changed(self.df, layout[1], "left_semi"))
         for d in self.registry.by_name.values():
             if d.candidates is not None and (found := d.candidates(query)) is not None:
                 source = source.where(F.coalesce(found[0], F.lit(False)))
         return source.where(query.column())
 
+    def _changed(self, df: DataFrame, touched: DataFrame, how: str) -> DataFrame:
+        return df.join(touched, self.schema.id_field.column == F.col("_key"), how)
+
+    def _touched(self, wanted: dict[TextField, list[str]]) -> DataFrame | None:
+        """Ids that changed since any of the fields' postings were built."""
+        own = [t for f in wanted if (t := self.registry.touched.get(f"{f.name}:{IndexType.TEXT.value}")) is not None]
+        out = own[0] if own else None
+        for t in own[1:]:
+            out = out.unionByName(t)  # type: ignore[union-attr]
+        return out.distinct() if out is not None and len(own) > 1 else out
+
     # -- ranked
 
     def _check(self, f: TextField, has_terms: bool) -> None:
@@ -93,11 +106,22 @@ class Searcher:
         paths = {f: self.registry.path(f, IndexType.TEXT) for f in wanted}
         if not wanted or not all(paths.values()):
             return textindex.statistics(self.df, wanted)
-        spark, out = self.df.sparkSession, {}
+        spark, out, touched = self.df.sparkSession, {}, self._touched(wanted)
+        later = textindex.statistics(self._changed(self.df, touched, "left_semi"), wanted) if touched is not None else {}
         for f, terms in wanted.items():
             row = spark.read.parquet(f"{paths[f]}/stats").first()
-            df = {r[0]: r[1] for r in textindex.doc_freq(read_postings(spark, paths[f], terms)).collect()}  # type: ignore[arg-type]
-            out[f] = Statistics(FieldStats(row["n_docs"], row["total_length"]), df)
+            posted = read_postings(spark, paths[f], terms)  # type: ignore[arg-type]
+            df = {r[0]: r[1] for r in textindex.doc_freq(posted).collect()}
+            n, total = row["n_docs"], row["total_length"]
+            if touched is not None:  # without the old versions of what changed, and with the new ones
+                old = spark.read.parquet(f"{paths[f]}/lengths").join(touched, "_key", "left_semi")
+                gone = old.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+                n, total = n - gone[0] + later[f].stats.documents, total - gone[1] + later[f].stats.total_length
+                for term, k in textindex.doc_freq(posted.join(old.select(ORD), ORD, "left_semi")).collect():
+                    df[term] -= k
+                for term, k in later[f].df.items():
+                    df[term] = df.get(term, 0) + k
+            out[f] = Statistics(FieldStats(n, total), df)
         return out
 
     def scored(self, request: SearchRequest) -> DataFrame:
@@ -108,9 +132,17 @@ class Searcher:
         statistics = self.statistics(node)
         wanted = ranked.needed(node)
         paths = {f: self.registry.path(f, IndexType.TEXT) for f in wanted}
-        if self.mode is not PlanningMode.FORCE_SCAN and all(paths.values()):
-            return self._from_postings(request, node, statistics, wanted, paths)  # type: ignore[arg-type]
-        df = self.df if request.filter is None else self.df.where(request.filter.column())
+        if self.mode is PlanningMode.FORCE_SCAN or not all(paths.values()):
+            return self._scanned(self.df, request, node, statistics, wanted)
+        touched = self._touched(wanted)
+        if touched is None:
+            return self._from_postings(self.df, request, node, statistics, wanted, paths)  # type: ignore[arg-type]
+        stored = self._from_postings(self._changed(self.df, touched, "left_anti"), request, node, statistics, wanted, paths)  # type: ignore[arg-type]
+        return stored.unionByName(self._scanned(self._changed(self.df, touched, "left_semi"), request, node, statistics, wanted))
+
+    def _scanned(self, df: DataFrame, request: SearchRequest, node: Node, statistics: dict, wanted: dict[TextField, list[str]]) -> DataFrame:
+        """From the texts themselves."""
+        df = df if request.filter is None else df.where(request.filter.column())
         place = {(f, t): f"_p{i}_{k}" for i, (f, terms) in enumerate(wanted.items()) for k, t in enumerate(terms)}
         length = {f: f"_l{i}" for i, f in enumerate(wanted)}
         df = df.select("*", *[f.analyzer.column(f.column).alias(f"_t{i}") for i, f in enumerate(wanted)])
@@ -126,7 +158,7 @@ class Searcher:
         checked = F.when(F.isnan(score) | (score < 0) | (score == float("inf")), F.raise_error(F.lit("a score is not finite, or negative")).cast("double")).otherwise(score)
         return df.where(matched).select(*keep, checked.alias("score"))
 
-    def _from_postings(self, request: SearchRequest, node: Node, statistics: dict, wanted: dict, paths: dict[TextField, str]) -> DataFrame:
+    def _from_postings(self, docs: DataFrame, request: SearchRequest, node: Node, statistics: dict, wanted: dict, paths: dict[TextField, str]) -> DataFrame:
         """Candidates from the postings of the needed terms alone, brought together per document; the documents are joined last."""
         spark, place, length, rows = self.df.sparkSession, {}, {}, None
         for i, (f, terms) in enumerate(wanted.items()):
@@ -142,7 +174,7 @@ class Searcher:
                 columns.append(F.coalesce(F.max(F.when((F.col("f") == i) & (F.col("term") == t), F.col("positions"))), none).alias(place[f, t]))
         assert rows is not None
         found = self._ranked(rows.groupBy(ORD).agg(*columns), node, statistics, request, place, length, [ORD])
-        df = self.df if request.filter is None else self.df.where(request.filter.column())
+        df = docs if request.filter is None else docs.where(request.filter.column())
         return df.join(found, ORD).select(*self.df.columns, "score")
 
     def top_k(self, request: SearchRequest) -> DataFrame:

@@ -59,8 +59,10 @@ class IndexRegistry:
     def __init__(self) -> None:
         self.by_name: dict[str, IndexDefinition] = {}
         self.paths: dict[str, str] = {}
+        #: Ids (a column ``_key``) that changed since an index's table was built; none: it is up to date.
+        self.touched: dict[str, DataFrame] = {}
 
-    def add(self, d: IndexDefinition, path: str | None = None) -> None:
+    def add(self, d: IndexDefinition, path: str | None = None, touched: DataFrame | None = None) -> None:
         if d.name in self.by_name:
             raise IndexLifecycleError(d.name, IndexLifecycleError.Reason.ALREADY_EXISTS)
         if d.kind is IndexType.TEXT and not isinstance(d.field, TextField):
@@ -68,12 +70,15 @@ class IndexRegistry:
         self.by_name[d.name] = d
         if path:
             self.paths[d.name] = path
+        if touched is not None:
+            self.touched[d.name] = touched
 
     def drop(self, field_name: str) -> list[str]:
         gone = [n for n, d in self.by_name.items() if d.field.name == field_name]
         for n in gone:
             self.by_name.pop(n)
             self.paths.pop(n, None)
+            self.touched.pop(n, None)
         return gone
 
     def has(self, f: Field, kind: IndexType) -> bool:
@@ -83,9 +88,11 @@ class IndexRegistry:
         return self.paths.get(f"{f.name}:{kind.value}")
 
 
-def build(df: DataFrame, d: IndexDefinition, path: str) -> None:
-    """Write the derived table of an index."""
+def build(df: DataFrame, d: IndexDefinition, path: str, key: Column | None = None) -> None:
+    """Write the derived table of an index; ``key`` is the id, by which later changes are told."""
     if d.kind is IndexType.TEXT:
+        lengths = textindex.doc_lengths(df, d.field) if key is None else df.select(textindex.ORD, key.alias("_key"), F.size(d.field.analyzer.column(d.field.column)).alias("dl")).where("dl > 0")  # type: ignore[arg-type, attr-defined]
+        lengths.write.parquet(f"{path}/lengths")
         textindex.postings(df, d.field).repartitionByRange("term").sortWithinPartitions("term", textindex.ORD).write.parquet(f"{path}/postings")  # type: ignore[arg-type]
         textindex.corpus_stats(df, d.field).write.parquet(f"{path}/stats")  # type: ignore[arg-type]
     else:
@@ -100,8 +107,8 @@ def statistics(df: DataFrame, d: IndexDefinition) -> IndexStatistics:
     return IndexStatistics(d.name, row[0], row[1])
 
 
-def layout_for(query: Query, registry: IndexRegistry) -> str | None:
-    """The sorted layout that serves a condition best: of an equality, prefix or range on an indexed field, at the top or in a
+def layout_for(query: Query, registry: IndexRegistry) -> tuple[str, DataFrame | None] | None:
+    """The sorted layout (and the ids changed since) that serves a condition best: of an equality, prefix or range on an indexed field, at the top or in a
     conjunction. A null is in no layout, so an equality with null has none."""
     for q in query.children if isinstance(query, And) else (query,):
         kinds = {Equal: (IndexType.EQUALITY, IndexType.RANGE, IndexType.PREFIX), Between: (IndexType.RANGE,), Prefix: (IndexType.PREFIX,)}.get(type(q), ())
@@ -109,7 +116,7 @@ def layout_for(query: Query, registry: IndexRegistry) -> str | None:
             continue
         for kind in kinds:
             if path := registry.path(q.field, kind):  # type: ignore[attr-defined]
-                return f"{path}/sorted"
+                return f"{path}/sorted", registry.touched.get(f"{q.field.name}:{kind.value}")  # type: ignore[attr-defined]
     return None
 
 

@@ -185,15 +185,20 @@ class SnapshotStore:
 
     # -- derived index tables
 
-    def derived(self, name: str, version: int, d: index_ops.IndexDefinition, df: DataFrame) -> tuple[str, str]:
-        """The index table of a version: as it is (``warm``), or built anew where it is missing or doesn't fit (``rebuilt``)."""
-        path = f"{self.path}/derived/{name.replace(':', '-')}/{version:012d}"
-        if self.files.exists(f"{path}/DONE.json") and self.files.read(f"{path}/DONE.json") == {"history": self.manifest["history"], "version": version}:
-            return path, "warm"
+    def derived(self, name: str, d: index_ops.IndexDefinition) -> tuple[str, DataFrame | None, str]:
+        """The newest table of an index that the log behind it still completes (``warm``), with the ids changed since; or one of
+        the present version (``rebuilt``), where there is none that fits."""
+        folder = f"{self.path}/derived/{name.replace(':', '-')}"
+        for v in reversed(self.files.list(folder)):
+            at = int(v)
+            if self.manifest["seq"] <= at <= self.version and self.files.exists(f"{folder}/{v}/DONE.json") and self.files.read(f"{folder}/{v}/DONE.json") == {"history": self.manifest["history"], "version": at}:
+                touched = self.log().where(F.col("seq") > at).select(F.col(self.schema.id_field.name).alias("_key")).distinct() if at < self.version else None
+                return f"{folder}/{v}", touched, "warm"
+        path = f"{folder}/{self.version:012d}"
         self.files.delete(path)
-        index_ops.build(df, d, path)
-        self.files.create(f"{path}/DONE.json", {"history": self.manifest["history"], "version": version})
-        return path, "rebuilt"
+        index_ops.build(self.at(), d, path, self.schema.id_field.column)
+        self.files.create(f"{path}/DONE.json", {"history": self.manifest["history"], "version": self.version})
+        return path, None, "rebuilt"
 
 
 def _digest(value: dict) -> str:
@@ -357,7 +362,9 @@ def plan_cleanup(spark: SparkSession, path: str) -> CleanupPlan:
     last = max([m["seq"], *map(int, log)])
     gone = [f"log/{n}" for n in files.list(f"{path}/log") if n.startswith("_new-") or (n.isdigit() and int(n) <= m["seq"])]
     gone += [f"checkpoint/{n}" for n in files.list(f"{path}/checkpoint") if n != m["checkpoint"]]
-    gone += [f"derived/{n}/{v}" for n in files.list(f"{path}/derived") for v in files.list(f"{path}/derived/{n}") if int(v) != last]
+    for n in files.list(f"{path}/derived"):
+        versions = [v for v in files.list(f"{path}/derived/{n}") if m["seq"] <= int(v) <= last and files.exists(f"{path}/derived/{n}/{v}/DONE.json")]
+        gone += [f"derived/{n}/{v}" for v in files.list(f"{path}/derived/{n}") if v not in versions[-1:]]
     return CleanupPlan(path, _digest({"files": gone, "manifest": m}), tuple(gone))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from lexmill.engine import EngineConfig, SearchEngine
 from lexmill.errors import BulkMutationError, DocumentAlreadyExists, DocumentNotFound, DurabilityError, EngineRejected, IndexLifecycleError, InvalidArgument, InvalidState, ReplicaReadError, SchemaError
 from lexmill.operators.indexes import Accuracy, IndexDefinition, PlanningMode
+from lexmill.operators.execute import Searcher
 from lexmill.operators.textindex import ORD
 from lexmill.plans import predicates as p
 from lexmill.plans import ranked as r
@@ -164,6 +165,32 @@ def test_indexes_never_change_results(spark):
         assert [[x.id for x in e.search(q).collect()] for q in queries] == before
 
 
+def test_text_index_with_later_changes_scores_as_a_scan(spark):
+    rng = random.Random(93)
+    schema = SearchSchema.from_dataclass(Article)
+    body = schema.text_field("body")
+    words = ["java", "search", "engine", "café"]
+    some = lambda i: article(i, "t", i % 4, None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))))
+    with SearchEngine(spark, schema) as e:
+        e.add_all([some(i) for i in range(20)])
+        e.checkpoint()
+        for _ in range(2):
+            e.update_all([some(i) for i in rng.sample(range(20), 5) if e.get(i)])
+            e.remove_all([rng.randrange(20)])
+            e.add_all([some(100 + e.store.version)])
+            assert e._current.registry.touched
+            for q in (r.text(body, "java search"), r.phrase(body, "search engine", 1), r.fuzzy(body, "serach")):
+                request = SearchRequest(q, limit=50)
+                got = [(x.id, x.score) for x in e.search(request).collect()]
+                e._current.mode = PlanningMode.FORCE_SCAN
+                scan = Searcher(e._current.df, schema)
+                assert got == [(x.id, x.score) for x in scan.top_k(request).collect()]
+                e._current.mode = PlanningMode.COST_AWARE
+            assert rows(e.search(p.between(schema.field("price"), 1, 2))) == rows(Searcher(e._current.df, schema).search(p.between(schema.field("price"), 1, 2)))
+        e.checkpoint()
+        assert not e._current.registry.touched
+
+
 def test_stream(spark, tmp_path):
     schema = SearchSchema.from_struct(T.StructType().add("id", "long").add("v", "string"), "id")
     source = str(tmp_path / "in")
@@ -204,8 +231,6 @@ def test_schema_and_products(spark):
     schema = product_schema()
     f = ProductFilters(schema)
     df = spark.createDataFrame([("1", "lamp", "HOME", 5.0, True, 4.5), ("2", "book", "BOOKS", 9.0, False, 3.0), ("3", "late", "HOME", 7.0, False, 4.0)], schema.struct)
-    from lexmill.operators.execute import Searcher
-
     s = Searcher.over(df, schema)
     ids = lambda q: [x.id for x in s.search(q).collect()]
     assert ids(f.and_(f.category("HOME"), f.rating(4.0))) == ["1", "3"]
