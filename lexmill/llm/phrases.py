@@ -9,9 +9,9 @@ bounded size, and these go through the steps:
    found in the same exchange.
 2. Windows with such an anchor are confirmed: blocks exchange a 96-bit hash of each, with the place of
    its first occurrence, and learn which recur and where the first of all is.
-3. Each block compiles its confirmed windows into Aho-Corasick automata, sharded so that none has more than
-   ``SHARD`` windows, and streams all its documents through them to locate every occurrence. In the
-   automata's alphabet a word is one character, so that a match is one of whole, equal words.
+3. Each block puts its confirmed windows together to passages, compiles these into Aho-Corasick automata,
+   sharded so that none has more than about ``SHARD`` words, and streams all its documents through them to locate
+   every occurrence. In the automata's alphabet a word is one character, so that a match is one of whole, equal words.
 
 A block sends each anchor and window once, however often it has them, so that a phrase in every
 document is no hot group.
@@ -31,8 +31,8 @@ from .shared import coded, cut, rolling, slices, starts_within, word_hashes, wor
 
 #: Words of a window, and of the phrases that its anchor is chosen from.
 WINDOW, PHRASE = 20, 6
-#: Bytes of text in a block, about; windows in an automaton; blocks to each range of hashes.
-BLOCK_BYTES, SHARD, BLOCKS_PER_RANGE = 2_000_000, 50_000, 8
+#: Bytes of text in a block, about; words in an automaton; blocks to each range of hashes.
+BLOCK_BYTES, SHARD, BLOCKS_PER_RANGE = 2_000_000, 500_000, 8
 #: Stands for a null doc_id: behind all others.
 LAST = np.int64(2**63 - 1)
 OTHER = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +58,7 @@ def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     def flush() -> pa.RecordBatch:
@@ -72,11 +72,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
     number, held, size = 0, [], 0
-    for batch in slices(batches, chars=BLOCK_BYTES // 4):
+    for batch in slices(batches, chars=most // 4):
         batch = pa.RecordBatch.from_arrays(pa.Table.from_batches([batch]).combine_chunks().to_batches()[0].columns, schema=batch.schema)
         held.append(batch.take(pa.array(np.arange(batch.num_rows))))  # a copy, not a view of the whole batch
         size += sum(len(x or "") for x in batch.column("text").to_pylist())
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield flush()
     if held:
         yield flush()
@@ -188,8 +188,7 @@ def _send_windows(ranges: int):
             least = anchors(h, places)[0]
             if len(known) and len(places):
                 places = places[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-                h1 = rolling(h, WINDOW)[places]
-                h2 = (rolling(h ^ OTHER, WINDOW, 0x5851F42D4C957F2D | 0x10000)[places] >> np.uint64(32)).astype(np.uint32)
+                h1, h2 = (x[places] for x in _window_hashes(h))
                 key, start = b.key[b.doc[places]], (places - b.off[b.doc[places]]).astype(np.int32)
                 order = np.lexsort((start, key, h2, h1))
                 new = np.ones(len(order), bool)
@@ -240,45 +239,67 @@ def _characters(code: np.ndarray) -> np.ndarray:
     return (code + np.where(code >= 0xD800, 0x800, 0)).astype(np.uint32)
 
 
-def occurrences(b: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stream a block through automata of its windows at ``places``: the place of each occurrence, and which window it is of."""
+def occurrences(b: Block, runs: list[tuple[int, int]], shard: int = SHARD) -> np.ndarray:
+    """Stream a block through automata of its passages, given as ranges of words: True for each place where a window of an occurrence begins."""
     import ahocorasick
 
-    at, which = [], []
-    for a in range(0, len(places), SHARD):
-        some = places[a : a + SHARD]
-        windows = b.code[some[:, None] + np.arange(WINDOW)]
-        letters, coded_ = np.unique(windows, return_inverse=True)
+    edge = np.zeros(len(b.code) + 1, np.int64)
+    doc_of = np.repeat(np.arange(len(b.size)), b.size + 1)
+    at = 0
+    while at < len(runs):
+        upto, words = at, 0
+        while upto < len(runs) and (words == 0 or words + runs[upto][1] - runs[upto][0] <= shard):
+            words += runs[upto][1] - runs[upto][0]
+            upto += 1
+        some, at = runs[at:upto], upto
+        letters = np.unique(np.concatenate([b.code[x:y] for x, y in some]))
         alphabet = np.zeros(len(b.vocab), np.int64)
         alphabet[letters] = np.arange(len(letters)) + 2
-        pattern = _characters(coded_.reshape(windows.shape) + 2).tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for i in range(len(some)):
-            automaton.add_word(pattern[i * WINDOW : (i + 1) * WINDOW], i)
-        automaton.make_automaton()
-        line = np.ones(len(b.code) + len(b.size), np.uint32)  # 1: a word of no window, or the end of a document
+        line = np.ones(len(b.code) + len(b.size), np.uint32)  # 1: a word of no passage, or the end of a document
         line[np.arange(len(b.code)) + b.doc] = np.maximum(_characters(alphabet[b.code]), 1)
         stream = line.tobytes().decode("utf-32-le")
-        found = np.fromiter(automaton.iter(stream), np.dtype([("end", np.int64), ("i", np.int64)]))
-        doc_of = np.repeat(np.arange(len(b.size)), b.size + 1)
-        at.append(found["end"] - doc_of[found["end"]] - WINDOW + 1)
-        which.append(found["i"] + a)
-    return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        automaton = ahocorasick.Automaton()
+        for x, y in some:
+            shift = int(b.doc[x])
+            automaton.add_word(stream[x + shift : y + shift], y - x)
+        automaton.make_automaton()
+        found = np.fromiter(automaton.iter(stream), np.dtype([("end", np.int64), ("n", np.int64)]))
+        last = found["end"] - doc_of[found["end"]]
+        edge += np.bincount(last - found["n"] + 1, minlength=len(edge))
+        edge -= np.bincount(last - WINDOW + 2, minlength=len(edge))
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rolling(h, WINDOW), (rolling(h ^ OTHER, WINDOW, 0x5851F42D4C957F2D) >> np.uint64(32)).astype(np.uint32)
 
 
-def _keep(left: pa.Table, right: pa.Table) -> pa.Table:
+def _keep(left: pa.Table, right: pa.Table, shard: int = SHARD) -> pa.Table:
     if not left.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
     b = Block(left.column("blob")[0].as_py())
     parts = [_unzip(x, "i4", "i8", "i4") for x in right.column("found").to_pylist() if x is not None]
     place, key, start = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(("i4", "i8", "i4")))
-    at, which = occurrences(b, place.astype(np.int64))
-    doc = b.doc[at] if len(at) else np.zeros(0, np.int64)
-    later = ~((b.key[doc] == key[which]) & (at - b.off[doc] == start[which]))
-    edge = np.zeros(len(b.code) + WINDOW + 1, np.int64)
-    np.add.at(edge, at[later], 1)
-    np.add.at(edge, at[later] + WINDOW, -1)
-    gone = np.cumsum(edge)[: len(b.code)] > 0
+    gone = np.zeros(len(b.code), bool)
+    if len(place):
+        # Which window of those that recur begins at each place, and so where it is first.
+        h1, h2 = _window_hashes(b.hashes())
+        order = np.argsort(h1[place])
+        place, key, start = place[order], key[order], start[order]
+        places = b.window_places()
+        known = np.minimum(np.searchsorted(h1[place], h1[places]), len(place) - 1)
+        same = (h1[place[known]] == h1[places]) & (h2[place[known]] == h2[places])
+        places, known = places[same], known[same]
+        ends = np.flatnonzero(np.diff(places) != 1)
+        runs = zip(places[np.concatenate([[0], ends + 1])].tolist(), (places[np.concatenate([ends, [len(places) - 1]])] + WINDOW).tolist(), strict=True)
+        passages = {b.code[x:y].tobytes(): (x, y) for x, y in runs}
+        located = occurrences(b, list(passages.values()), shard)[places]
+        doc = b.doc[places]
+        later = located & ~((b.key[doc] == key[known]) & (places - b.off[doc] == start[known]))
+        edge = np.zeros(len(b.code) + 1, np.int64)
+        np.add.at(edge, places[later], 1)
+        np.add.at(edge, places[later] + WINDOW, -1)
+        gone = np.cumsum(edge)[:-1] > 0
     copies = np.zeros(len(b.size), bool)
     copies[_copies(right)] = True
     gone |= copies[b.doc]
@@ -292,7 +313,7 @@ def _keep(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": b.doc_id, "n_words": pa.array(b.size, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int = SHARD) -> DataFrame:
     """One row per row of ``docs (doc_id long, text string, ...)``: doc_id, n_words, n_removed and kept, the words
     left, joined by one space. Removed is every word in a window of ``WINDOW`` words whose words also start
     earlier: in a document of smaller doc_id, or earlier in the same one.
@@ -301,11 +322,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id are one document: equal windows at equal places in them aren't earlier than each other. An empty
     table gives no rows. Further columns are ignored.
     """
-    blocks = cut(docs.select("doc_id", "text").mapInArrow(_blocks, "block long, blob binary"))
+    blocks = cut(docs.select("doc_id", "text").mapInArrow(lambda batches: _blocks(batches, block_bytes), "block long, blob binary"))
     ranges = max(1, blocks.count() // BLOCKS_PER_RANGE)
     sent = blocks.mapInArrow(_send_anchors(ranges), "range int, block long, anchors binary, docs binary")
     recurring = cut(sent.groupBy("range").applyInArrow(_recurring, "block long, anchors binary, copies binary"))
     windows = blocks.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(_send_windows(ranges), "range int, block long, windows binary")
     found = windows.groupBy("range").applyInArrow(_first_places, "block long, found binary")
     answers = found.withColumn("copies", F.lit(None).cast("binary")).unionByName(recurring.select("block", F.lit(None).cast("binary").alias("found"), "copies"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _keep(left, right, shard), "doc_id long, n_words long, n_removed long, kept string")
