@@ -41,7 +41,12 @@ def buckets_of(words: pa.Array) -> np.ndarray:
 
 def classes_of(words: pa.Array) -> np.ndarray:
     """A class by the last two bytes."""
-    return np.fromiter(((w[-1] * 31 + (w[-2] if len(w) > 1 else 0)) % CLASSES for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return (raw[ends[1:] - 1] * 31 + np.where(np.diff(ends) > 1, raw[ends[1:] - 2], 0)) % CLASSES
 
 
 @dataclass
@@ -79,18 +84,23 @@ class Network:
 
     def forward(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         around = [line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]
-        z = self.bias + sum(self.place[k][x] for k, x in enumerate(around))
-        h = np.tanh(z)
-        logits = h @ self.out + self.out_bias
-        logits -= logits.max(1, keepdims=True)
+        z = self.place[0][around[0]] + self.bias
+        for k in range(1, 2 * SIDE):
+            z += self.place[k][around[k]]
+        h = np.tanh(z, out=z)
+        logits = h @ self.out
+        logits += self.out_bias
+        if np.abs(self.out).sum(0).max() + np.abs(self.out_bias).max() > 60:  # else no exponential can overflow
+            logits -= logits.max(1, keepdims=True)
         return h, logits, around
 
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at))
-        for a in range(0, len(at), 8192):
-            some = at[a : a + 8192]
+        for a in range(0, len(at), BATCH):  # blocks that stay in the processor's cache
+            some = at[a : a + BATCH]
             _, logits, _ = self.forward(line, some)
-            out[a : a + 8192] = logits[np.arange(len(some)), line[some]] - np.log(np.exp(logits).sum(1))
+            own = logits[np.arange(len(some)), line[some]]
+            out[a : a + BATCH] = own - np.log(np.exp(logits, out=logits).sum(1))
         return out
 
     def train(self, line: np.ndarray, at: np.ndarray, state: list[tuple[np.ndarray, np.ndarray]], t: int) -> int:
@@ -126,7 +136,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
 
-def _train(held, turn: int):
+def _train(held, turn: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = pickle.loads(held.value)  # noqa: S301  of our own making
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
@@ -135,7 +145,7 @@ def _train(held, turn: int):
             words, off = words_of(batch.column("text"))
             line, at = net.windows(words, off)
             place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
-            some = at[(place + np.repeat(np.diff(off), np.diff(off))) % EVERY == turn * EVERY // ROUNDS]
+            some = at[(place + np.repeat(np.diff(off), np.diff(off))) % every == turn * every // ROUNDS]
             t = net.train(line, np.random.default_rng(len(some)).permutation(some), state, t)
             trained += len(some)
         if trained:
@@ -146,7 +156,7 @@ def _train(held, turn: int):
     return run
 
 
-def fit(docs: DataFrame) -> Network:
+def fit(docs: DataFrame, every: int = EVERY) -> Network:
     """A network of a fixed size from all of ``docs (text, ...)``."""
     spark = docs.sparkSession
     texts = docs.select("text").where("text IS NOT NULL")
@@ -159,7 +169,7 @@ def fit(docs: DataFrame) -> Network:
     net = Network(known, (rng.standard_normal((2 * SIDE, SYMBOLS, HIDDEN)) * 0.1).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal((HIDDEN, SYMBOLS)) * 0.1).astype(np.float32), np.zeros(SYMBOLS, np.float32))
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast(pickle.dumps(net))
-        summed = texts.mapInArrow(_train(held, turn), "place int, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
+        summed = texts.mapInArrow(_train(held, turn, every), "place int, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
         if summed.num_rows:
             flat = np.zeros(len(net.flat()))
             flat[summed.column("place").to_numpy()] = summed.column("value").to_numpy() / summed.column("weight").to_numpy() / STEPS
