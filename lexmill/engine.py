@@ -245,8 +245,7 @@ class SearchEngine:
         if not keys:
             return set()
         ids = self.spark.createDataFrame([(k,) for k in set(keys)], T.StructType([T.StructField("_key", self.schema.id_field.type)]))
-        found = self.store.at().join(F.broadcast(ids), self.schema.id_field.column == F.col("_key"), "left_semi")  # a batch's keys
-        return {r[0] for r in found.select(self.schema.id_field.column).collect()}
+        return {r[0] for r in self.store.having(F.broadcast(ids)).select(self.schema.id_field.column).collect()}  # a batch's keys
 
     def _commit(self, rows: DataFrame | None, kind: str, adds: int = 0, **meta) -> int:
         seq = self.store.commit(rows, kind, adds, **meta)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .engine import SearchEngine
 from .functions.analysis import SimpleAnalyzer
 from .functions.bm25 import Bm25Config
 from .operators import fuzzy, indexes, textindex
@@ -17,6 +20,7 @@ from .plans import ranked as r
 from .plans.requests import HighlightedSearchRequest, SearchPageRequest, SearchRequest, TotalHitsMode, ranked_request
 from .product import ProductFilters
 from .schema import Field, IndexType, SearchSchema, TextField
+from .sources import storage
 from .sources.storage import merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +388,58 @@ def migration_projection(spark, sf_dir):
     return df.select((F.col("p_partkey") + 1000000).alias("sku"), F.upper("p_name").alias("title"), F.col("p_size").cast("long").alias("score"))
 
 
+# -- stored collections
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_bm25(["password", "with", "token"]) + _top("s0 + s1 + s2", "tf0 + tf1 + tf2 > 0"))
+def bm25_from_postings(spark, sf_dir):
+    """The same search from a stored text index."""
+    s, text = documents(spark, sf_dir)
+    d, path = indexes.IndexDefinition(text, IndexType.TEXT), _folder(spark, "index")
+    indexes.build(s.df, d, path, s.schema.id_field.column)
+    registry = indexes.IndexRegistry()
+    registry.add(d, path)
+    return hits(Searcher(s.df, s.schema, registry, strict=True).top_k(SearchRequest(r.text(text, "password with token"))))
+
+
+_CHANGED = """SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0
+    UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 50 = 0"""
+
+
+@query(f"SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal FROM ({_CHANGED}) WHERE c_acctbal BETWEEN 0 AND 5000")
+def durable_changes(spark, sf_dir):
+    """Adds, updates and removals, a checkpoint and a recovery; then a search through a range index that is older than the last change."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
+    schema, path = SearchSchema.from_frame(df, "c_custkey"), _folder(spark, "store")
+    balance = schema.field("c_acctbal")
+    with SearchEngine(spark, schema, path) as e:
+        e.apply_frame("add", df)
+        e.create_index(indexes.IndexDefinition(balance, IndexType.RANGE))
+        e.checkpoint()
+        e.apply_frame("update", df.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1))
+        e.apply_frame("remove", df.where("c_custkey % 7 = 0"))
+    with SearchEngine(spark, schema, path) as e:
+        e.apply_frame("add", df.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
+        return e.search(p.between(balance, 0.0, 5000.0)).select("c_custkey", "c_name", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def backup_and_restore(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    schema, path = SearchSchema.from_frame(df, "p_partkey"), _folder(spark, "backup")
+    storage.write_backup(df, path, schema)
+    storage.verify_backup(spark, path, schema)
+    storage.restore_backup(spark, path, f"{path}-restored")
+    with SearchEngine(spark, schema, f"{path}-restored") as e:
+        return e.search(p.match_all()).select("p_partkey", "p_name")
+
+
 # -- explanations and highlights (no SQL)
 
 

@@ -26,6 +26,8 @@ from .files import Files
 
 #: (1, 1) adds index commits, (1, 2) derived index tables.
 FORMATS = ((1, 0), (1, 1), (1, 2))
+#: Log rows whose ids may be broadcast.
+BROADCAST_ROWS = 200_000
 Reason = DurabilityError.Reason
 
 
@@ -103,6 +105,7 @@ class SnapshotStore:
     def _recover(self) -> None:
         """Read the log's commits behind the checkpoint: their numbers must follow one another."""
         self.version, self.next_ord, self.indexes = self.manifest["seq"], self.manifest["next_ord"], dict(self.manifest["indexes"])
+        self.log_rows: dict[int, int] = {}
         for name in self.commits():
             seq = int(name)
             if seq <= self.manifest["seq"]:
@@ -111,6 +114,7 @@ class SnapshotStore:
                 raise DurabilityError(f"commit {self.version + 1} is missing", Reason.CORRUPT_LOG)
             meta = self.files.read(f"{self.path}/log/{name}/META.json")
             self.version, self.next_ord = seq, meta["next_ord"]
+            self.log_rows[seq] = meta.get("rows", 0)
             if meta["kind"] == "INDEX_CREATE":
                 self.indexes[meta["index"]] = meta["at"]
             elif meta["kind"] == "INDEX_DROP":
@@ -139,8 +143,27 @@ class SnapshotStore:
         return self.spark.read.schema(self.log_schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.log_schema)
 
     def at(self, version: int | None = None) -> DataFrame:
-        """The collection at a version from the checkpoint's on, the latest by default."""
-        return merged(self.base(), self.log(version), self.schema.id_field.name)
+        """The collection at a version from the checkpoint's on, the latest by default.
+
+        The checkpoint but for the ids that the log names, and what becomes of these. While the log's rows, by its
+        commits' own counts, are few, their ids are broadcast and the checkpoint isn't shuffled."""
+        upto = self.version if version is None else version
+        rows = sum(n for seq, n in self.log_rows.items() if self.manifest["seq"] < seq <= upto)
+        if rows == 0:
+            return self.base()
+        base, log, name = self.base(), self.log(upto), self.schema.id_field.name
+        touched = log.select(F.col(name).alias("_id")).distinct()
+        if rows <= BROADCAST_ROWS:
+            touched = F.broadcast(touched)
+        same = F.col(name) == F.col("_id")
+        changed = merged(base.join(touched, same, "left_semi"), log, name)
+        return base.join(touched, same, "left_anti").unionByName(changed)
+
+    def having(self, ids: DataFrame) -> DataFrame:
+        """The documents of a few ids (a column ``_key``), found before the log is merged."""
+        name = self.schema.id_field.name
+        same = F.col(name) == F.col("_key")
+        return merged(self.base().join(ids, same, "left_semi"), self.log().join(ids, same, "left_semi"), name)
 
     # -- writing
 
@@ -155,6 +178,7 @@ class SnapshotStore:
         if not self.files.move(tmp, f"{self.path}/log/{seq:012d}"):
             raise DurabilityError(f"commit {seq} is there already: another writer", Reason.STORAGE_IN_USE)
         self.version, self.next_ord = seq, self.next_ord + adds
+        self.log_rows[seq] = int(meta.get("rows", 0))
         return seq
 
     def checkpoint(self) -> int:
