@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is computed once, in the cluster's checkpoint folder (a temporary one only where none is named)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+    return df.checkpoint(eager=True)
 
 
 @dataclass

@@ -22,7 +22,7 @@ from ..errors import DurabilityError
 from ..operators import indexes as index_ops
 from ..operators.textindex import ORD
 from ..schema import SearchSchema
-from .files import Files
+from .files import Files, settled
 
 #: (1, 1) adds index commits, (1, 2) derived index tables.
 FORMATS = ((1, 0), (1, 1), (1, 2))
@@ -338,8 +338,9 @@ def write_backup(df: DataFrame, path: str, schema: SearchSchema) -> dict:
 
 
 def numbered(df: DataFrame, id_name: str) -> DataFrame:
-    """``doc_ord`` from 0 by id: sorted by range, counted per partition, then numbered in each: no single task sorts it all."""
-    spread = df.repartitionByRange(F.col(id_name)).sortWithinPartitions(id_name).withColumn("_part", F.spark_partition_id())
+    """``doc_ord`` from 0 by id: sorted by range, counted per partition, then numbered in each: no single task sorts it all.
+    The ranges come from a sample that another run would draw anew, so they are settled first."""
+    spread = settled(df.repartitionByRange(F.col(id_name)).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r[0], r[1]) for r in spread.groupBy("_part").count().collect())  # a row per partition
     start, at = {}, 0
     for part, n in counts:
