@@ -145,11 +145,11 @@ class Searcher:
         df = df if request.filter is None else df.where(request.filter.column())
         place = {(f, t): f"_p{i}_{k}" for i, (f, terms) in enumerate(wanted.items()) for k, t in enumerate(terms)}
         length = {f: f"_l{i}" for i, f in enumerate(wanted)}
-        df = df.select("*", *[f.analyzer.column(f.column).alias(f"_t{i}") for i, f in enumerate(wanted)])
+        df = once(df, [f.analyzer.column(f.column).alias(f"_t{i}") for i, f in enumerate(wanted)])
         columns = [F.size(f"_t{i}").alias(f"_l{i}") for i in range(len(wanted))]
         for i, (f, terms) in enumerate(wanted.items()):
             columns += [_places(F.col(f"_t{i}"), t).alias(place[f, t]) for t in terms]
-        df = df.select(*[c for c in df.columns if not c.startswith("_t")], *columns)
+        df = once(df, columns)
         return self._ranked(df, node, statistics, request, place, length, [*self.df.columns])
 
     def _ranked(self, df: DataFrame, node: Node, statistics: dict[TextField, Statistics], request: SearchRequest, place: dict, length: dict, keep: list[str]) -> DataFrame:
@@ -253,5 +253,11 @@ class Searcher:
         return self.df.sparkSession.createDataFrame(out, schema)
 
 
+def once(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """``df`` with costly columns computed once per row. A condition on plain computed columns is pushed below them
+    and computes them again, for each time it names them; below an explode of one element it isn't."""
+    return df.select("*", F.explode(F.array(F.struct(*columns))).alias("_once")).select(*df.columns, "_once.*")
+
+
 def _places(tokens: Column, term: str) -> Column:
     return F.transform(F.filter(tokens, lambda t: t["term"] == term), lambda t: t["pos"])
