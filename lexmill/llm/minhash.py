@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     the id are one node of the graph, with the links of each. An empty table
     gives no rows. Further columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(_sign(shingle), SIGNED))
     usable = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))  # equal sets have equal signatures
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     bounds = floors(percent / 100, miss)
 
     bands = reps.mapInArrow(_bands, "bucket long, rep long")
-    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # Cut, so that both sides of the join are plain exchanges and a large bucket can be split.
+    buckets = cut(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     members = cut(bands.join(buckets, "bucket"))
     part = F.pmod(F.xxhash64("rep", "bucket"), F.lit(PARTS))
     heads = members.groupBy("bucket", part.alias("part")).agg(F.min("rep").alias("head"), F.first("leader").alias("leader"))
@@ -254,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     # component (side 0) with all (side 1), in blocks.
     known = cut(members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
     split = known.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
-    rest = cut(known.join(split, "bucket").select("main", "rep", "component").distinct())  # buckets of one main component together: each pair once
+    rest = cut(known.join(cut(split), "bucket").select("main", "rep", "component").distinct())  # buckets of one main component together: each pair once
     sizes = rest.groupBy("main").agg(F.ceil(F.count(F.when(F.col("component") != F.col("main"), 1)) / BLOCK).cast("long").alias("i_blocks"), F.ceil(F.count("*") / BLOCK).cast("long").alias("j_blocks"))
     rest = rest.join(sizes, "main")
     to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
