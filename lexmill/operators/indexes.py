@@ -93,10 +93,10 @@ def build(df: DataFrame, d: IndexDefinition, path: str, key: Column | None = Non
     if d.kind is IndexType.TEXT:
         lengths = textindex.doc_lengths(df, d.field) if key is None else df.select(textindex.ORD, key.alias("_key"), F.size(d.field.analyzer.column(d.field.column)).alias("dl")).where("dl > 0")  # type: ignore[arg-type, attr-defined]
         lengths.write.parquet(f"{path}/lengths")
-        textindex.exploded_postings(df, d.field).repartitionByRange("term").sortWithinPartitions("term", textindex.ORD).write.parquet(f"{path}/postings")  # type: ignore[arg-type]
+        textindex.exploded_postings(df, d.field).repartitionByRange("term", textindex.ORD).sortWithinPartitions("term", textindex.ORD).write.parquet(f"{path}/postings")  # type: ignore[arg-type]
         textindex.corpus_stats(df, d.field).write.parquet(f"{path}/stats")  # type: ignore[arg-type]
     else:
-        df.where(d.field.column.isNotNull()).repartitionByRange(d.field.column).sortWithinPartitions(d.field.column).write.parquet(f"{path}/sorted")
+        df.where(d.field.column.isNotNull()).repartitionByRange(d.field.column, F.col(textindex.ORD)).sortWithinPartitions(d.field.column).write.parquet(f"{path}/sorted")
 
 
 def statistics(df: DataFrame, d: IndexDefinition) -> IndexStatistics:
