@@ -6,11 +6,14 @@ logged as one commit and then published. There is one writer; readers never wait
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import Future
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from queue import Empty, Full, Queue
 
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import BulkMutationError, DocumentAlreadyExists, DocumentNotFound, EngineRejected, IndexLifecycleError, InvalidArgument
+from .errors import BulkMutationError, DocumentAlreadyExists, DocumentNotFound, EngineRejected, IndexLifecycleError, InvalidArgument, ReplicaReadError
 from .operators import indexes as index_ops
 from .operators.execute import Page, Searcher
 from .operators.indexes import IndexDefinition, IndexRegistry, PlanningMode
@@ -65,6 +68,39 @@ class Metrics:
     closed: bool = False
 
 
+@dataclass
+class ReadView:
+    """Reads of one captured version (no paging)."""
+
+    _searcher: Searcher
+    token: ReadToken
+    active: bool = True
+
+    def _own(self) -> Searcher:
+        if not self.active:
+            raise ReplicaReadError("the view's block has ended", ReplicaReadError.Reason.VIEW_NOT_ACTIVE)
+        return self._searcher
+
+    @property
+    def sequence(self) -> int:
+        return self._own().version
+
+    def get(self, key: object) -> Row | None:
+        return self._own().get(key).drop(ORD).first()
+
+    def search(self, what: Query | SearchRequest) -> DataFrame:
+        return self._own().search(what) if isinstance(what, Query) else self._own().top_k(what)
+
+    def search_top_k(self, request: SearchRequest) -> DataFrame:
+        return self._own().top_k(request)
+
+    def search_highlighted(self, request: HighlightedSearchRequest) -> DataFrame:
+        return self._own().highlight(request)
+
+    def explain(self, request: SearchRequest, key: object) -> Explanation | None:
+        return self._own().explain(request, key)
+
+
 @dataclass
 class _Task:
     op: str
@@ -123,9 +159,19 @@ class SearchEngine:
             current = self._current if version >= self._current.version else current
         return current
 
+    @contextmanager
+    def read(self, options: ReadOptions | None = None) -> Iterator[ReadView]:
+        """A view of one version, for as long as the block lasts."""
+        view = ReadView(self.snapshot(options), self.token())
+        try:
+            yield view
+        finally:
+            view.active = False
+
     def token(self) -> ReadToken:
-        s = self._current
-        return ReadToken(b"\0" * 16, bytes.fromhex(self.store.manifest["history"]), b"\0" * 32, s.version)
+        """What is published now; a later read at this token sees it or more."""
+        digest = hashlib.sha256(json.dumps(self.store.manifest, sort_keys=True).encode()).digest()
+        return ReadToken(b"\0" * 16, bytes.fromhex(self.store.manifest["history"]), digest, self._current.version)
 
     # -- reads
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from .engine import SearchEngine
 from .errors import InvalidArgument
 from .plans import predicates as q
 from .schema import Field, IndexType, SearchSchema
@@ -16,6 +18,11 @@ def product_schema() -> SearchSchema:
     return SearchSchema(fields[0], fields, {"name": [IndexType.PREFIX], "category": [IndexType.EQUALITY], "prime": [IndexType.EQUALITY], "price": [IndexType.RANGE]})
 
 
+def product_engine(spark: SparkSession, path: str | None = None) -> SearchEngine:
+    """An engine of products, with the schema's indexes."""
+    return SearchEngine(spark, product_schema(), path)
+
+
 class ProductFilters:
     """Each method gives a condition on a schema with the product fields."""
 

@@ -14,7 +14,7 @@ from lexmill.operators.textindex import ORD
 from lexmill.plans import predicates as p
 from lexmill.plans import ranked as r
 from lexmill.plans.requests import HighlightedSearchRequest, SearchPageRequest, SearchRequest
-from lexmill.product import CATEGORIES, ProductFilters, product_schema
+from lexmill.product import CATEGORIES, ProductFilters, product_engine, product_schema
 from lexmill.schema import IndexType, SearchId, SearchIndex, SearchSchema, SearchText, suggestion
 from lexmill.sources import storage
 from lexmill.streaming.reads import ReadOptions, ReadPolicy, ReadToken, resolve
@@ -132,7 +132,14 @@ def test_batches_are_atomic(spark):
                 e.add_all(bad)
         with pytest.raises(DocumentNotFound):
             e.update_all([{"id": 1, "v": "z"}, {"id": 7, "v": "z"}])
+        with e.read() as view:
+            token = view.token
+            assert view.get(2).v == "b" and view.sequence == e.store.version
+        with pytest.raises(ReplicaReadError):
+            view.get(2)
         e.remove_all([2, 7])
+        with e.read(ReadOptions(ReadPolicy.AT_LEAST_INDEX, token)) as view:
+            assert view.get(2) is None and view.sequence > token.index
         assert [(x.id, x.v) for x in e.search(p.match_all()).collect()] == [(1, "a")]
         e.apply_frame("add", spark.range(10, 20).select("id", F.lit("n").alias("v")))
         e.apply_frame("remove", spark.range(15, 30).select("id"))
@@ -224,6 +231,13 @@ def test_read_tokens():
         assert x.value.reason is reason
 
 
+def test_product_engine(spark):
+    with product_engine(spark) as e:
+        f = ProductFilters(e.schema)
+        e.add({"id": "1", "name": "lamp", "category": "HOME", "price": 5.0, "prime": True, "rating": 4.5}).result(60)
+        assert [x.id for x in e.search(f.and_(f.name("la"), f.price_range(1, 9))).collect()] == ["1"]
+
+
 def test_schema_and_products(spark):
     assert suggestion("titel", ["title", "body"]) == "title" and suggestion("xyz", ["title"]) is None
     with pytest.raises(SchemaError):
