@@ -10,6 +10,9 @@ partition, so long as a partition can hold its pieces.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,55 +26,119 @@ from .shared import coded, cut, slices, words_of
 
 #: Pieces that one task packs, at most about.
 PART_PIECES = 100_000
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 150_000
+#: Distinct parts whose ids a worker keeps from one slice of texts, and one task, to the next; parts encoded together; characters of a slice.
+CACHE_WORDS, TOGETHER, CHARS = 400_000, 1_000, 4_000_000
+ASCII_UPPER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
+LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
+PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,!?*&%$#|;:", np.uint8))
 
 
 class WordTokenizer:
     """Ids of whole texts from the ids of their words.
 
-    For tokenizers whose pre-tokenizer never joins what white space parts and that drop white space (as
-    ``word_bpe_49k`` does): the ids of a text are then those of its words in turn, and each
-    distinct word is given to the tokenizer once.
+    For tokenizers that drop white space and whose pre-tokenizer joins nothing across it, nor a
+    letter and the punctuation behind it, and that lower-case (as ``word_bpe_49k`` does): the ids of a text are then
+    those of such parts in turn, and each distinct part is given to the tokenizer once. Many parts
+    are encoded as one text, with a special token between them.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.held: dict[str, np.ndarray] = {}
-
-    def ids_of_words(self, vocab: list[str]) -> list[np.ndarray]:
+        # The same without its normalizer and its split, for parts that these leave as they are.
+        self.plain = None
+        kinds = json.loads(self.tokenizer.to_str())
+        if [n.get("type") for n in (kinds["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [n.get("type") for n in (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = special[0] if special else ("", -1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: dict[str, int] = {}
+        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def parts_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words, with A-Z lower-cased and punctuation behind an ASCII letter parted from it. Texts in
+        which a special token might stand are only cut at white space."""
+        s = pc.fill_null(texts.cast(pa.large_string()), "")
+        if s.offset or pc.any(pc.match_substring(s, "<|")).as_py():
+            return words_of(s)
+        raw = np.frombuffer(s.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(s.buffers()[1], np.int64)[: len(s) + 1]
+        raw = raw[: ends[-1]] | ASCII_UPPER[raw[: ends[-1]]]
+        at = np.flatnonzero(LETTER[raw[:-1]] & PUNCTUATION[raw[1:]]) + 1
+        new = np.insert(raw, at, 32)
+        return words_of(pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends + np.searchsorted(at, ends)), pa.py_buffer(new)))
+
+    def number(self, vocab: list[str]) -> np.ndarray:
+        """Each part's place in ``first`` and ``size``, after encoding those that aren't held."""
+        if len(self.held) > CACHE_WORDS:
+            self.clear()
         new = [w for w in vocab if w not in self.held]
-        fresh: dict[str, np.ndarray] = {}
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            fresh.update(zip(some, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = [self.held[w] if w in self.held else fresh[w] for w in vocab]
-        if len(self.held) + len(fresh) > CACHE_WORDS:
-            self.held.clear()
-        self.held.update(list(fresh.items())[:CACHE_WORDS])
-        return out
+        column = pa.array(new, pa.large_string())
+        lower = pc.and_(pc.ascii_is_alpha(column), pc.ascii_is_lower(column)).to_pylist()
+        easy, joined, alone = [], [], []
+        for w, ascii_lower in zip(new, lower, strict=True):
+            if ascii_lower and self.plain is not None:
+                easy.append(w)
+            elif self.mark and self.mark in w:
+                alone.append(w)
+            elif self.plain is not None and w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):
+                easy.append(w)
+            else:
+                joined.append(w)
+        first, size, pool, base = [self.first], [self.size], [self.pool], len(self.pool)
+        for tokenizer, parts, step in ((self.plain, easy, TOGETHER if self.mark else 1), (self.tokenizer, joined, TOGETHER if self.mark else 1), (self.tokenizer, alone, 1)):
+            if parts:
+                texts = [self.mark.join(parts[a : a + step]) for a in range(0, len(parts), step)]
+                lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                if step == 1:
+                    n = np.array([len(x) for x in lists], np.int64)
+                    ids = np.array([i for x in lists for i in x], np.uint32)
+                    begin = np.cumsum(n) - n
+                else:
+                    ids = np.concatenate([np.array([*x, self.mark_id], np.uint32) for x in lists])
+                    ends = np.flatnonzero(ids == self.mark_id)
+                    begin = np.concatenate([[0], ends[:-1] + 1])
+                    n = ends - begin
+                first.append(base + begin)
+                size.append(n)
+                pool.append(ids)
+                base += len(ids)
+        self.first, self.size, self.pool = np.concatenate(first).astype(np.int64), np.concatenate(size), np.concatenate(pool)
+        self.held.update(zip(easy + joined + alone, range(len(self.held), len(self.held) + len(new)), strict=True))
+        return np.fromiter((self.held[w] for w in vocab), np.int64, len(vocab))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, flat, each text's followed by the end id; the texts' offsets."""
-        flat, off = words_of(texts)
+        flat, off = self.parts_of(texts)
         idx, vocab = coded(flat)
-        each = self.ids_of_words(vocab.to_pylist())
-        size = np.array([len(x) for x in each], np.int64)
-        pool = np.concatenate([*each, np.zeros(0, np.uint32)])
-        first = np.cumsum(size) - size
-        n = size[idx]
+        part = self.number(vocab.to_pylist())[idx]
+        n = self.size[part]
         upto = np.concatenate([[0], np.cumsum(n)])
         out_off = upto[off] + np.arange(len(off))  # an end id after each text
-        total = int(out_off[-1])
-        out = np.full(total, self.end_id, np.uint32)
-        text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        place = np.repeat(first[idx] - upto[:-1], n) + np.arange(int(n.sum()))
-        out[np.repeat(text, n) + np.arange(int(n.sum()))] = pool[place]
+        out = np.full(int(out_off[-1]), self.end_id, np.uint32)
+        step = np.arange(int(upto[-1]))
+        text = np.repeat(np.arange(len(off) - 1), upto[off[1:]] - upto[off[:-1]])
+        out[step + text] = self.pool[np.repeat(self.first[part] - upto[:-1], n) + step]
         return out, out_off
 
 
+#: Tokenizers of this process, with what they hold: a worker keeps them from task to task.
+_OWN: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def own_tokenizer(path: str, end_id: int) -> WordTokenizer:
+    if (path, end_id) not in _OWN:
+        _OWN[path, end_id] = WordTokenizer(path, end_id)
+    return _OWN[path, end_id]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids (then ``end_id``) into pieces of ``capacity``, the last one shorter:
     doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit), and with
@@ -80,8 +147,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        own = WordTokenizer(tokenizer_path, end_id)
-        for batch in slices(batches):
+        own = own_tokenizer(tokenizer_path, end_id)
+        for batch in slices(batches, chars=CHARS):
             ids, off = own.encode(batch.column("text"))
             n = -(-np.diff(off) // capacity)
             row = np.repeat(np.arange(len(n)), n)
@@ -96,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 columns.append(pa.array([ids[a : a + m].astype(np.int32) for a, m in zip(at, length, strict=True)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
