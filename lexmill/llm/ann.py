@@ -192,7 +192,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
     once. An empty table gives no rows. Further columns are ignored.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     some = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(sample).toArrow()
     column = some.column("embedding").combine_chunks()
     size = pc.list_value_length(column).to_numpy(zero_copy_only=False)

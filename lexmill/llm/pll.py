@@ -195,4 +195,4 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             total, n = upto[off[1:]] - upto[off[:-1]], np.diff(off)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
