@@ -14,7 +14,9 @@ bounded size, and these go through the steps:
    every occurrence. In the automata's alphabet a word is one character, so that a match is one of whole, equal words.
 
 A block sends each anchor and window once, however often it has them, so that a phrase in every
-document is no hot group.
+document is no hot group. What blocks send are records in numpy arrays, gathered and dealt out to buckets by
+their key; where there are more buckets than ``FAN``, they are dealt in two steps, so that the pieces stay large however
+many blocks and buckets there are.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import coded, cut, rolling, slices, starts_within, word_hashes, words_of
+from .shared import coded, cut, mix64, rolling, slices, starts_within, word_hashes, words_of
 
 #: Words of a window, and of the phrases that its anchor is chosen from.
 WINDOW, PHRASE = 20, 6
-#: Bytes of text in a block, about; words in an automaton; blocks to each range of hashes.
-BLOCK_BYTES, SHARD, BLOCKS_PER_RANGE = 2_000_000, 500_000, 8
+#: Bytes of text in a block, about; words in an automaton; blocks to each bucket of hashes.
+BLOCK_BYTES, SHARD, BLOCKS_PER_BUCKET = 2_000_000, 500_000, 8
+#: Buckets that one step deals to; records that a task gathers before it deals them; buckets of small inputs.
+FAN, GATHER, LEAST_BUCKETS = 1024, 1_500_000, 24
 #: Stands for a null doc_id: behind all others.
 LAST = np.int64(2**63 - 1)
 OTHER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +51,70 @@ def _zip(*arrays: np.ndarray) -> bytes:
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
 
+ROW = "kind int, bucket long, blob binary"
+#: The arrays of each kind of record, and which of them is the key: 0 anchors (hash, home, more than once there), 1 documents (hash, hash,
+#: home, id, row), 2 windows (hash, hash, home, id, start, place, more than once there); answers go home: 3 anchors that recur
+#: (hash, home), 4 documents that repeat an earlier one (row, home), 5 windows that recur (place, home, first id, first start).
+KINDS = {0: (("u8", "i8", "?"), 0), 1: (("u8", "u8", "i8", "i8", "i4"), 0), 2: (("u8", "u4", "i8", "i8", "i4", "i4", "?"), 0), 3: (("u8", "i8"), 1), 4: (("i4", "i8"), 1), 5: (("i4", "i8", "i8", "i4"), 1)}
+
+
+class Records:
+    """Records of several kinds, gathered."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[list[np.ndarray]]] = {k: [] for k in KINDS}
+        self.size = 0
+
+    def add(self, kind: int, *arrays: np.ndarray) -> None:
+        if len(arrays[0]):
+            self.parts[kind].append(list(arrays))
+            self.size += len(arrays[0])
+
+    def read(self, table: pa.Table | pa.RecordBatch) -> Records:
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            self.add(kind, *_unzip(blob, *KINDS[kind][0]))
+        return self
+
+    def of(self, kind: int) -> list[np.ndarray]:
+        kinds = KINDS[kind][0]
+        return [np.concatenate([np.zeros(0, k), *(p[i] for p in self.parts[kind])]) for i, k in enumerate(kinds)]
+
+    def dealt(self, buckets: int) -> pa.Table:
+        """Rows (kind, bucket, blob), a bucket being the key modulo ``buckets``."""
+        rows: list[tuple[int, int, bytes]] = []
+        for kind, (_, key) in KINDS.items():
+            if self.parts[kind]:
+                arrays = self.of(kind)
+                bucket = (arrays[key].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    rows.append((kind, int(bucket[at[0]]), _zip(*(a[at] for a in arrays))))
+        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _whole(buckets: int, fan: int) -> int:
+    """The number of buckets, as one or two steps of dealing give it."""
+    return buckets if buckets <= fan else -(-buckets // fan) * fan
+
+
+def _dealt_again(rows: DataFrame, buckets: int, fan: int) -> DataFrame:
+    """Rows that were dealt to ``fan`` buckets dealt to ``buckets``, if these are more."""
+    if buckets <= fan:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Records()
+        for batch in batches:
+            held.read(batch)
+            if held.size >= GATHER:
+                yield from held.dealt(buckets).to_batches()
+                held = Records()
+        if held.size:
+            yield from held.dealt(buckets).to_batches()
+
+    return rows.repartition("bucket", F.pmod(F.xxhash64("blob"), F.lit(max(1, buckets // fan // 64)))).mapInArrow(run, ROW)
+
+
 def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
     import zstandard
 
@@ -69,7 +137,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 w.write_batch(b)
         blob = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
         number, held, size = number + 1, [], 0
-        return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
+        key = mix64(np.array([(TaskContext.get().partitionId() << 32) + number], np.uint64)) >> np.uint64(1)
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array([blob], pa.binary())], names=["home", "blob"])
 
     number, held, size = 0, [], 0
     for batch in slices(batches, chars=most // 4):
@@ -124,114 +193,118 @@ def anchors(h: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, grams[(most == grams) & (most > 0)] if len(grams) else grams
 
 
-def _send_anchors(ranges: int):
+def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        out = Records()
         for batch in batches:
-            for number, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            for home, blob in zip(batch.column("home").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 b = Block(blob)
                 h = b.hashes()
                 found, count = np.unique(anchors(h, b.window_places())[1], return_counts=True)
-                rows = np.flatnonzero(b.size >= WINDOW)
+                rows = np.flatnonzero(b.size >= WINDOW).astype(np.int32)
                 whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(h[b.off[i] : b.off[i + 1]].tobytes()), np.uint64) for i in rows], np.uint64).reshape(-1, 2)
-                r, rd = found % np.uint64(ranges), whole[:, 0] % np.uint64(ranges)
-                out = {"range": [], "anchors": [], "docs": []}
-                for k in range(ranges):
-                    own, docs = r == k, rd == k
-                    if own.any() or docs.any():
-                        out["range"].append(k)
-                        out["anchors"].append(_zip(found[own], count[own] > 1))
-                        out["docs"].append(_zip(whole[docs, 0], whole[docs, 1], b.key[rows[docs]], rows[docs].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), pa.array([number] * len(out["range"]), pa.int64()), pa.array(out["anchors"], pa.binary()), pa.array(out["docs"], pa.binary())], names=["range", "block", "anchors", "docs"])
+                out.add(0, found, np.full(len(found), home), count > 1)
+                out.add(1, whole[:, 0], whole[:, 1], np.full(len(rows), home), b.key[rows], rows)
+                if out.size >= GATHER:
+                    yield from out.dealt(buckets).to_batches()
+                    out = Records()
+        if out.size:
+            yield from out.dealt(buckets).to_batches()
 
     return run
 
 
-def _recurring(table: pa.Table) -> pa.Table:
-    """Of one range: each block's anchors that recur, and its documents that repeat one with a smaller id."""
-    blocks = table.column("block").to_pylist()
-    parts = [_unzip(x, "u8", "?") for x in table.column("anchors").to_pylist()]
-    values, count = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-    many = np.zeros(len(values), bool)
-    for found, multi in parts:
-        many[np.searchsorted(values, found[multi])] = True
-    many |= count > 1
-    docs = [_unzip(x, "u8", "u8", "i8", "i4") for x in table.column("docs").to_pylist()]
-    a, b, key, row = (np.concatenate([d[i] for d in docs]) for i in range(4))
-    of = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    order = np.lexsort((key, b, a))
-    a, b, key, row, of = (x[order] for x in (a, b, key, row, of))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    copy = key > key[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else np.zeros(0, bool)
-    out = [_zip(p[0][many[np.searchsorted(values, p[0])]]) for p in parts]
-    copies = [_zip(row[copy & (of == i)]) for i in range(len(blocks))]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "anchors": pa.array(out, pa.binary()), "copies": pa.array(copies, pa.binary())})
-
-
-def _copies(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int32), *(_unzip(x, "i4")[0] for x in table.column("copies").to_pylist() if x is not None)])
-
-
-def _send_windows(ranges: int):
+def _starts_of_groups(*sorted_: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    return new
+
+
+def _recurring(homes: int):
+    """Of one bucket: which blocks' anchors recur, and which documents repeat one with a smaller id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got, out = Records().read(table), Records()
+        value, home, multi = got.of(0)
+        if len(value):
+            order = np.argsort(value, kind="stable")
+            new = _starts_of_groups(value[order])
+            group = np.cumsum(new) - 1
+            many = ((np.bincount(group) > 1) | (np.bincount(group, weights=multi[order]) > 0))[group]
+            out.add(3, value[order][many], home[order][many])
+        a, b, home, key, row = got.of(1)
+        if len(a):
+            order = np.lexsort((key, b, a))
+            new = _starts_of_groups(a[order], b[order])
+            copy = order[key[order] > key[order][np.flatnonzero(new)][np.cumsum(new) - 1]]
+            out.add(4, row[copy], home[copy])
+        return out.dealt(homes)
+
+    return run
+
+
+def _blocks_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, Block, Records]]:
+    """The blocks of a group, each with the answers to it."""
+    got = Records().read(right)
+    answers = {kind: got.of(kind) for kind in (3, 4, 5)}
+    for home, blob in zip(left.column("home").to_pylist(), left.column("blob").to_pylist(), strict=True):
+        own = Records()
+        for kind, arrays in answers.items():
+            mine = arrays[1] == home
+            own.add(kind, *(x[mine] for x in arrays))
+        yield home, Block(blob), own
+
+
+def _send_windows(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"range": [], "block": [], "windows": []}
-        if left.num_rows:
-            b = Block(left.column("blob")[0].as_py())
-            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unzip(x, "u8")[0] for x in right.column("anchors").to_pylist())]))
+        out = Records()
+        for home, b, answers in _blocks_of(left, right):
+            known = np.unique(answers.of(3)[0])
             places = b.window_places()
             skip = np.zeros(len(b.size), bool)
-            skip[_copies(right)] = True
+            skip[answers.of(4)[0]] = True
             places = places[~skip[b.doc[places]]]
+            if not len(known) or not len(places):
+                continue
             h = b.hashes()
             least = anchors(h, places)[0]
-            if len(known) and len(places):
-                places = places[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-                h1, h2 = (x[places] for x in _window_hashes(h))
-                key, start = b.key[b.doc[places]], (places - b.off[b.doc[places]]).astype(np.int32)
-                order = np.lexsort((start, key, h2, h1))
-                new = np.ones(len(order), bool)
-                new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-                at = np.flatnonzero(new)
-                multi = np.diff(np.append(at, len(order))) > 1
-                first = order[at]
-                by_place = np.argsort(places[first], kind="stable")
-                first, multi = first[by_place], multi[by_place]
-                r = h1[first] % np.uint64(ranges)
-                for k in range(ranges):
-                    own = r == k
-                    if own.any():
-                        f = first[own]
-                        out["range"].append(k)
-                        out["block"].append(left.column("block")[0].as_py())
-                        out["windows"].append(_zip(h1[f], h2[f], key[f], start[f], places[f].astype(np.int32), multi[own]))
-        return pa.table({"range": pa.array(out["range"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "windows": pa.array(out["windows"], pa.binary())})
+            places = places[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
+            h1, h2 = (x[places] for x in _window_hashes(h))
+            key, start = b.key[b.doc[places]], (places - b.off[b.doc[places]]).astype(np.int32)
+            order = np.lexsort((start, key, h2, h1))
+            at = np.flatnonzero(_starts_of_groups(h1[order], h2[order]))
+            multi = np.diff(np.append(at, len(order))) > 1
+            first = order[at]
+            by_place = np.argsort(places[first], kind="stable")
+            first, multi = first[by_place], multi[by_place]
+            out.add(2, h1[first], h2[first], np.full(len(first), home), key[first], start[first], places[first].astype(np.int32), multi)
+        return out.dealt(buckets)
 
     return run
 
 
-def _first_places(table: pa.Table) -> pa.Table:
-    """Of one range: for each block's windows that recur, the place there and the first occurrence of all."""
-    parts = [_unzip(x, "u8", "u4", "i8", "i4", "i4", "?") for x in table.column("windows").to_pylist()]
-    h1, h2, key, start, place, multi = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((start, key, h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    at = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    many = (np.diff(np.append(at, len(order))) > 1) | (np.bincount(group, weights=multi[order]) > 0)
-    head = order[at][group]
-    keep = np.flatnonzero(many[group])
-    order, head = order[keep], head[keep]
-    out = []
-    for i in range(len(parts)):
-        own = of[order] == i
-        o, f = order[own], head[own]
-        by = np.argsort(place[o], kind="stable")
-        out.append(_zip(place[o][by], key[f][by], start[f][by]))
-    return pa.table({"block": pa.array(table.column("block").to_pylist(), pa.int64()), "found": pa.array(out, pa.binary())})
+def _first_places(homes: int):
+    """Of one bucket: the blocks' windows that recur, with the first occurrence of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = Records()
+        h1, h2, home, key, start, place, multi = Records().read(table).of(2)
+        if len(h1):
+            order = np.lexsort((start, key, h2, h1))
+            new = _starts_of_groups(h1[order], h2[order])
+            group = np.cumsum(new) - 1
+            many = (np.bincount(group) > 1) | (np.bincount(group, weights=multi[order]) > 0)
+            head = order[np.flatnonzero(new)][group]
+            keep = np.flatnonzero(many[group])
+            order, head = order[keep], head[keep]
+            by_home = np.lexsort((place[order], home[order]))  # neighbours compress well
+            order, head = order[by_home], head[by_home]
+            out.add(5, place[order], home[order], key[head], start[head])
+        return out.dealt(homes)
+
+    return run
 
 
 def _characters(code: np.ndarray) -> np.ndarray:
@@ -274,12 +347,8 @@ def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rolling(h, WINDOW), (rolling(h ^ OTHER, WINDOW, 0x5851F42D4C957F2D) >> np.uint64(32)).astype(np.uint32)
 
 
-def _keep(left: pa.Table, right: pa.Table, shard: int = SHARD) -> pa.Table:
-    if not left.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
-    b = Block(left.column("blob")[0].as_py())
-    parts = [_unzip(x, "i4", "i8", "i4") for x in right.column("found").to_pylist() if x is not None]
-    place, key, start = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(("i4", "i8", "i4")))
+def _keep(b: Block, answers: Records, shard: int) -> pa.Table:
+    place, _, key, start = answers.of(5)
     gone = np.zeros(len(b.code), bool)
     if len(place):
         # Which window of those that recur begins at each place, and so where it is first.
@@ -301,7 +370,7 @@ def _keep(left: pa.Table, right: pa.Table, shard: int = SHARD) -> pa.Table:
         np.add.at(edge, places[later] + WINDOW, -1)
         gone = np.cumsum(edge)[:-1] > 0
     copies = np.zeros(len(b.size), bool)
-    copies[_copies(right)] = True
+    copies[answers.of(4)[0]] = True
     gone |= copies[b.doc]
     words = b.words.to_pylist()
     kept = []
@@ -313,7 +382,7 @@ def _keep(left: pa.Table, right: pa.Table, shard: int = SHARD) -> pa.Table:
     return pa.table({"doc_id": b.doc_id, "n_words": pa.array(b.size, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int = SHARD, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs (doc_id long, text string, ...)``: doc_id, n_words, n_removed and kept, the words
     left, joined by one space. Removed is every word in a window of ``WINDOW`` words whose words also start
     earlier: in a document of smaller doc_id, or earlier in the same one.
@@ -322,11 +391,20 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int =
     doc_id are one document: equal windows at equal places in them aren't earlier than each other. An empty
     table gives no rows. Further columns are ignored.
     """
-    blocks = cut(docs.select("doc_id", "text").mapInArrow(lambda batches: _blocks(batches, block_bytes), "block long, blob binary"))
-    ranges = max(1, blocks.count() // BLOCKS_PER_RANGE)
-    sent = blocks.mapInArrow(_send_anchors(ranges), "range int, block long, anchors binary, docs binary")
-    recurring = cut(sent.groupBy("range").applyInArrow(_recurring, "block long, anchors binary, copies binary"))
-    windows = blocks.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(_send_windows(ranges), "range int, block long, windows binary")
-    found = windows.groupBy("range").applyInArrow(_first_places, "block long, found binary")
-    answers = found.withColumn("copies", F.lit(None).cast("binary")).unionByName(recurring.select("block", F.lit(None).cast("binary").alias("found"), "copies"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _keep(left, right, shard), "doc_id long, n_words long, n_removed long, kept string")
+    blocks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _blocks(batches, block_bytes), "home long, blob binary"))
+    n = blocks.count()
+    homes = _whole(max(1, n), fan)
+    buckets = _whole(max(1, min(n, LEAST_BUCKETS), n // BLOCKS_PER_BUCKET), fan)
+    first = min(buckets, fan)
+    blocks = blocks.withColumn("bucket", F.col("home") % homes)
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+        return pa.concat_tables([empty, *(_keep(b, answers, shard) for _, b, answers in _blocks_of(left, right))])
+
+    sent = _dealt_again(blocks.mapInArrow(_send_anchors(first), ROW), buckets, fan)
+    recurring = cut(_dealt_again(sent.groupBy("bucket").applyInArrow(_recurring(min(homes, fan)), ROW), homes, fan))
+    windows = blocks.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_send_windows(first), ROW)
+    found = _dealt_again(windows, buckets, fan).groupBy("bucket").applyInArrow(_first_places(min(homes, fan)), ROW)
+    answers = _dealt_again(found, homes, fan).unionByName(recurring.where("kind = 4"))
+    return blocks.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

@@ -27,14 +27,14 @@ def brute(rows):
     return out, key
 
 
-@pytest.mark.parametrize("block", [2_000_000, 3_000])
-def test_against_all_windows(spark, rng, block):
+@pytest.mark.parametrize("block, fan", [(2_000_000, 1024), (3_000, 1024), (1_000, 3)])
+def test_against_all_windows(spark, rng, block, fan):
     rows = corpus(rng)
     passage = sentence(rng, 45)
     rows += [(500 + i, " ".join(passage.split()[i : i + 30]) + " " + sentence(rng, 5) + " " + passage) for i in range(8)]
     rows += [(600, "w " * 50), (601, "w " * 19), (602, "w " * 20), (603, "w " * 21)]
     expected, key = brute(rows)
-    got = phrases.remove_repeats(frame(spark, rows), block, 100).collect()
+    got = phrases.remove_repeats(frame(spark, rows), block, 100, fan).collect()
     assert len(got) == len(rows)
     texts = {}
     for d, t in rows:
