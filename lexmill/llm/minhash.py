@@ -32,7 +32,7 @@ N_HASHES, BAND_ROWS = 160, 5
 BATCH = 32
 #: A pair goes when the posterior probability of reaching the threshold is under this.
 MISS = 1e-7
-#: Leaders per bucket, and members on each side of a block of the second comparison, about.
+#: Members up to which a bucket has one leader, and members on each side of a block of the second comparison, about.
 PARTS, BLOCK = 64, 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     # Cut, so that both sides of the join are plain exchanges and a large bucket can be split.
     buckets = cut(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     members = cut(bands.join(buckets, "bucket"))
-    part = F.pmod(F.xxhash64("rep", "bucket"), F.lit(PARTS))
+    part = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.sqrt("n")).cast("long"))  # as many heads as members to each
     heads = members.groupBy("bucket", part.alias("part")).agg(F.min("rep").alias("head"), F.first("leader").alias("leader"))
     small = members.where(F.col("n") <= PARTS).select(F.col("leader").alias("u"), F.col("rep").alias("v"))
     large = members.where(F.col("n") > PARTS).withColumn("part", part).join(heads, ["bucket", "part"]).select(F.col("head").alias("u"), F.col("rep").alias("v"))

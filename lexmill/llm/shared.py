@@ -124,14 +124,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     every node of an edge, the component named by its smallest node.
 
     Alternates the large-star and small-star steps on the edge list. Each round takes a
-    map-side minimum before it shuffles, so that a node with many neighbours is no hot
-    group, and cuts the lineage. Rounds needed grow with the logarithm of the longest path.
+    map-side minimum before it shuffles, and cuts it, so that the join with the edges of a node
+    with many neighbours can be split. Rounds needed grow with the logarithm of the longest path.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
