@@ -1,14 +1,17 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts each word from the ``SIDE`` words on both sides of it: an embedding for each
-place of the window, summed, a tanh layer, and a softmax over the vocabulary. It is written and trained in numpy.
-A document's score is the sum of the log-probabilities of all its words, each masked in turn.
-
-The vocabulary is a fixed number of symbols: the most frequent words of the whole corpus (as buckets of a hash, whose
-counts Spark adds up), and for the other words a class by their last letters. Training covers all documents: in each of ``ROUNDS``
+place of the window, summed, a tanh layer, and a class-factored softmax. It is written and trained in numpy.
+A document's score is the sum of the log-probabilities of all its words, each masked in turn:
+log p(symbol | both sides) + log p(word | symbol).
+
+The network predicts a fixed number of symbols: the most frequent words of the whole corpus (as buckets of a hash), and for
+the other words a class by their last letters. The vocabulary is every word of the corpus: p(word | symbol) is the word's
+count in all documents to its symbol's. Those counts lie in shards, by the words' hashes, that grow in number with the corpus;
+blocks of documents ask the shards for the counts of their distinct words, so that no process holds the vocabulary. Training covers all documents: in each of ``ROUNDS``
 rounds every task masks every ``EVERY``-th word of its documents, with another offset each round, and trains its own copy
 of the network; Spark averages the copies, weighted by the words trained on, in fixed-point numbers so that
-reruns agree. The network is of a fixed size; what is gathered for it grows with the tasks, so with the corpus.
+reruns agree. The network is of a fixed size; the word counts grow with the corpus.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import coded, slices, word_hashes, words_of
+from .shared import coded, cut, slices, word_hashes, words_of
 
 #: Symbols: 0 stands outside a document, then known words, then classes of other words.
 SYMBOLS, CLASSES = 256, 64
@@ -33,10 +37,13 @@ ROUNDS, EVERY = 2, 16
 BATCH, RATE = 2048, 0.01
 #: Steps to one in a fixed-point parameter; words to one unit of weight.
 STEPS, UNIT = 2**24, 10_000
+#: Bytes of text to a shard of the word counts, and to a block of documents that asks for counts; distinct words a task holds.
+SHARD_BYTES, BLOCK_BYTES, HELD = 2**25, 2**23, 1_000_000
+COUNTS = "hashes binary, counts binary"
 
 
-def buckets_of(words: pa.Array) -> np.ndarray:
-    return (word_hashes(words, seed=5) % np.uint64(BUCKETS)).astype(np.int64)
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def classes_of(words: pa.Array) -> np.ndarray:
@@ -56,6 +63,12 @@ class Network:
     bias: np.ndarray
     out: np.ndarray  # hidden x symbols
     out_bias: np.ndarray
+    totals: np.ndarray | None = None  # symbol -> words of the corpus
+    words: DataFrame | None = None  # (shard, hashes, counts): each word's count in the corpus
+    shards: int = 1
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "words": None}
 
     def parameters(self) -> list[np.ndarray]:
         return [self.place, self.bias, self.out, self.out_bias]
@@ -69,17 +82,22 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def symbols(self, words: pa.Array) -> np.ndarray:
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's place among the distinct words, and their hashes and symbols."""
         idx, vocab = coded(words)
-        s = self.known[buckets_of(vocab)]
-        return np.where(s > 0, s, SYMBOLS - CLASSES + classes_of(vocab)).astype(np.int32)[idx]
+        hashes = word_hashes(vocab, seed=5)
+        s = self.known[buckets_of(hashes)]
+        return idx, hashes, np.where(s > 0, s, SYMBOLS - CLASSES + classes_of(vocab)).astype(np.int32)
 
-    def windows(self, words: pa.Array, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, words: pa.Array, off: np.ndarray, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All symbols with ``SIDE`` outside symbols around each document, and the place of each word there."""
+        if symbols is None:
+            idx, _, own = self.coded(words)
+            symbols = own[idx]
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
         at = np.arange(len(words)) + (doc + 1) * SIDE
         line = np.zeros(len(words) + len(off) * SIDE, np.int32)
-        line[at] = self.symbols(words)
+        line[at] = symbols
         return line, at
 
     def forward(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -125,25 +143,78 @@ class Network:
         return t
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches):
-        idx, vocab = coded(words_of(batch.column("text"))[0])
-        if len(vocab):
-            total += np.bincount(buckets_of(vocab), weights=np.bincount(idx, minlength=len(vocab)), minlength=BUCKETS).astype(np.int64)
-    some = np.flatnonzero(total)
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the sums of their counts."""
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first)
+
+
+def _sharded(h: np.ndarray, n: np.ndarray, shards: int, home: int) -> pa.RecordBatch:
+    """A row for each shard that has some of the words: (shard, home, hashes, counts)."""
+    shard = buckets_of(h) % shards
+    order = np.argsort(shard, kind="stable")
+    shard, h, n = shard[order], h[order], n[order]
+    edges = [*np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist(), len(h)]
+    pieces = list(zip(edges[:-1], edges[1:], strict=True))
+    rows = pa.array(shard[edges[:-1]]), pa.array(np.full(len(pieces), home, np.int64)), *(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, n))
+    return pa.RecordBatch.from_arrays(list(rows), names=["shard", "home", "hashes", "counts"])
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    hashes, counts = (b"".join(table.column(c).to_pylist()) for c in ("hashes", "counts"))
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
+
+
+def _count(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for batch in slices(batches):
+            idx, vocab = coded(words_of(batch.column("text"))[0])
+            if not len(vocab):
+                continue
+            held.append((word_hashes(vocab, seed=5), np.bincount(idx, minlength=len(vocab)).astype(np.int64)))
+            waiting += len(vocab)
+            if waiting > HELD:
+                held = [_summed(*map(list, zip(*held, strict=True)))]
+                waiting = 0
+                if len(held[0][0]) > HELD:
+                    yield _sharded(*held.pop(), shards, 0)
+        if held:
+            yield _sharded(*_summed(*map(list, zip(*held, strict=True))), shards, 0)
+
+    return run
+
+
+def _sum_shard(table: pa.Table) -> pa.Table:
+    h, n = _unpacked(table)
+    h, n = _summed([h], [n])
+    return pa.table({"shard": table.column("shard").slice(0, 1), "hashes": pa.array([h.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            h, n = _unpacked(batch)
+            total = np.zeros(BUCKETS, np.int64)
+            np.add.at(total, buckets_of(h), n)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
 
 def _train(held, turn: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = pickle.loads(held.value)  # noqa: S301  of our own making
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-        trained, t = 0, 0
+        trained, t, totals = 0, 0, np.zeros(SYMBOLS, np.int64)
         for batch in slices(batches):
             words, off = words_of(batch.column("text"))
             line, at = net.windows(words, off)
+            if turn == 0:
+                totals += np.bincount(line[at], minlength=SYMBOLS)
             place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
             some = at[(place + np.repeat(np.diff(off), np.diff(off))) % every == turn * every // ROUNDS]
             t = net.train(line, np.random.default_rng(len(some)).permutation(some), state, t)
@@ -152,47 +223,112 @@ def _train(held, turn: int, every: int):
             weight = -(-trained // UNIT)
             flat = np.round(net.flat().astype(np.float64) * STEPS).astype(np.int64) * weight
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), weight))], names=["place", "value", "weight"])
+        some = np.flatnonzero(totals)
+        if len(some):  # behind the parameters: the words of each symbol
+            yield pa.RecordBatch.from_arrays([pa.array((some + len(net.flat())).astype(np.int32)), pa.array(totals[some]), pa.array(np.zeros(len(some), np.int64))], names=["place", "value", "weight"])
 
     return run
 
 
 def fit(docs: DataFrame, every: int = EVERY) -> Network:
-    """A network of a fixed size from all of ``docs (text, ...)``."""
+    """A network of a fixed size, and the counts of all words, from all of ``docs (text, ...)``."""
     spark = docs.sparkSession
     texts = docs.select("text").where("text IS NOT NULL")
-    counts = texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(BUCKETS, 1 + size // SHARD_BYTES)
+    vocabulary = cut(texts.mapInArrow(_count(shards), f"shard long, home long, {COUNTS}").groupBy("shard").applyInArrow(_sum_shard, f"shard long, {COUNTS}"))
+    counts = vocabulary.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "bucket").limit(SYMBOLS - CLASSES - 1).collect()
     known = np.zeros(BUCKETS, np.int32)
     for k, (bucket, _) in enumerate(top):
         known[bucket] = k + 1
     rng = np.random.default_rng(0)
-    net = Network(known, (rng.standard_normal((2 * SIDE, SYMBOLS, HIDDEN)) * 0.1).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal((HIDDEN, SYMBOLS)) * 0.1).astype(np.float32), np.zeros(SYMBOLS, np.float32))
+    net = Network(known, (rng.standard_normal((2 * SIDE, SYMBOLS, HIDDEN)) * 0.1).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal((HIDDEN, SYMBOLS)) * 0.1).astype(np.float32), np.zeros(SYMBOLS, np.float32), np.zeros(SYMBOLS, np.int64), vocabulary, shards)
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast(pickle.dumps(net))
         summed = texts.mapInArrow(_train(held, turn, every), "place int, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
         if summed.num_rows:
-            flat = np.zeros(len(net.flat()))
-            flat[summed.column("place").to_numpy()] = summed.column("value").to_numpy() / summed.column("weight").to_numpy() / STEPS
+            place, value, weight = (summed.column(c).to_numpy() for c in ("place", "value", "weight"))
+            flat = net.flat().astype(np.float64)
+            own = place < len(flat)
+            flat[place[own]] = value[own] / weight[own] / STEPS
             net.load(flat.astype(np.float32))
+            net.totals[place[~own] - len(flat)] = value[~own]
     return net
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document with the block it is in, ``home``."""
+    home, size = np.int64(TaskContext.get().partitionId()) << np.int64(32), 0
+    for batch in slices(batches):
+        yield batch.append_column("home", pa.array(np.full(batch.num_rows, home)))
+        size += batch.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            home, size = home + 1, 0
+
+
+def _ask(shards: int):
+    """The distinct words of each block, to their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, held = None, []
+        for batch in slices(batches):
+            homes = batch.column("home").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(homes)) + 1).tolist(), len(homes)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if homes[a] != home and held:
+                    h = np.unique(np.concatenate(held))
+                    yield _sharded(h, np.zeros(len(h), np.int64), shards, home)
+                    held = []
+                home = int(homes[a])
+                _, vocab = coded(words_of(batch.column("text").slice(a, b - a))[0])
+                if len(vocab):
+                    held.append(word_hashes(vocab, seed=5))
+        if held:
+            h = np.unique(np.concatenate(held))
+            yield _sharded(h, np.zeros(len(h), np.int64), shards, home)
+
+    return run
+
+
+def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """The counts of what each block asked for; 0 for a word that the corpus doesn't hold."""
+    h, n = _unpacked(words)
+    counts = []
+    for raw in asked.column("hashes").to_pylist():
+        own = np.frombuffer(raw, np.uint64)
+        at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+        counts.append((np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)).tobytes())
+    return pa.table({"home": asked.column("home"), "hashes": asked.column("hashes"), "counts": pa.array(counts, pa.binary())})
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """One row per row of ``docs (doc_id, text, ...)``: doc_id, n_words, log_likelihood (the sum over all words of
     log p(word | both sides)) and mean_log_likelihood.
 
-    Null and empty texts: no words, log_likelihood 0, mean 0. Repeated rows have equal scores; null ids are kept. An
+    A word that the network's corpus doesn't hold has the probability of one occurrence more in its symbol. Null and empty
+    texts: no words, log_likelihood 0, mean 0. Repeated rows have equal scores; null ids are kept. An
     empty table gives no rows. Further columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own: Network = pickle.loads(held.value)  # noqa: S301
-        for batch in slices(batches):
+        hashes, counts = _unpacked(right)
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_likelihood": pa.array([], pa.float64()), "mean_log_likelihood": pa.array([], pa.float64())})]
+        for batch in slices(left.to_batches()):
             words, off = words_of(batch.column("text"))
-            line, at = own.windows(words, off)
-            upto = np.concatenate([[0.0], np.cumsum(own.log_probabilities(line, at))])
+            idx, vocab, symbols = own.coded(words)
+            line, at = own.windows(words, off, symbols[idx])
+            within = np.log(np.maximum(counts[np.searchsorted(hashes, vocab)], 1) / (own.totals[symbols] + 1.0))
+            upto = np.concatenate([[0.0], np.cumsum(own.log_probabilities(line, at) + within[idx])])
             total, n = upto[off[1:]] - upto[off[:-1]], np.diff(off)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            out.append(pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1))}))
+        return pa.concat_tables(out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    blocks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, "doc_id long, text string, home long"))
+    asked = blocks.mapInArrow(_ask(net.shards), f"shard long, home long, {COUNTS}")
+    answers = asked.groupBy("shard").cogroup(net.words.groupBy("shard")).applyInArrow(_answer, f"home long, {COUNTS}")
+    return blocks.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")

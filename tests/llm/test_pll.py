@@ -44,3 +44,22 @@ def test_gradient():
     for t in range(30):
         net.train(line, at, state, t)
     assert net.log_probabilities(line, at).mean() > before + 1
+
+
+def test_scores_every_word_of_the_corpus(spark, rng, monkeypatch):
+    for name in ("SHARD_BYTES", "BLOCK_BYTES", "HELD"):
+        monkeypatch.setattr(pll, name, 500, raising=False)
+    rows = [r for r in corpus(rng) if r[1]] + [(600, "zq"), (601, "one zzzzq"), *((610 + i, "two wwwzq") for i in range(9))]
+    net = pll.fit(frame(spark, rows))
+    got = {r.doc_id: r.log_likelihood for r in pll.score(frame(spark, [(1, "zzzzq"), (2, "wwwzq"), (3, "nowherezq"), *((1000 + r[0], r[1]) for r in rows if r[0] is not None)]), net).collect()}
+    # Alike to the network, nine times as frequent: ends in the same two bytes.
+    assert np.isclose(got[2] - got[1], np.log(9)) and np.isclose(got[3], got[1])
+    words = [w for _, t in ((r[0], r[1]) for r in rows) for w in words_of(pa.array([t]))[0].to_pylist()]
+    n = {w: words.count(w) for w in set(words)}
+    idx, _, symbols = net.coded(pa.array(list(n), pa.large_string()))
+    totals = np.bincount(symbols[idx], weights=list(n.values()), minlength=pll.SYMBOLS)
+    assert np.array_equal(totals, net.totals)
+    text, off = words_of(pa.array([rows[0][1]]))
+    line, at = net.windows(text, off)
+    expected = net.log_probabilities(line, at).sum() + sum(np.log(n[w] / (net.totals[s] + 1)) for w, s in zip(text.to_pylist(), line[at], strict=True))
+    assert np.isclose(got[1000 + rows[0][0]], expected)
