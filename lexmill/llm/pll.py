@@ -9,7 +9,7 @@ The network predicts a fixed number of symbols: the most frequent words of the w
 the other words a class by their last letters. The vocabulary is every word of the corpus: p(word | symbol) is the word's
 count in all documents to its symbol's. Those counts lie in shards, by the words' hashes, that grow in number with the corpus;
 blocks of documents ask the shards for the counts of their distinct words, so that no process holds the vocabulary. Training covers all documents: in each of ``ROUNDS``
-rounds every task masks every ``EVERY``-th word of its documents, with another offset each round, and trains its own copy
+rounds every task masks every ``EVERY``-th word of its documents, with another offset each round so that each word is once a target, and trains its own copy
 of the network; Spark averages the copies, weighted by the words trained on, in fixed-point numbers so that
 reruns agree. The network is of a fixed size; the word counts grow with the corpus.
 """
@@ -32,8 +32,8 @@ from .shared import coded, cut, slices, word_hashes, words_of
 SYMBOLS, CLASSES = 256, 64
 #: Hidden units; words on each side; buckets that words are counted in.
 HIDDEN, SIDE, BUCKETS = 16, 3, 2**16
-#: Rounds of training, and one word in how many each round masks.
-ROUNDS, EVERY = 2, 16
+#: Rounds of training, and one word in how many each round masks: every word once over the rounds.
+ROUNDS, EVERY = 2, 2
 BATCH, RATE = 2048, 0.01
 #: Steps to one in a fixed-point parameter; words to one unit of weight.
 STEPS, UNIT = 2**24, 10_000
@@ -133,8 +133,8 @@ class Network:
             dz = (p @ self.out.T) * (1 - h * h)
             place = np.zeros_like(self.place)
             for k, x in enumerate(around):
-                for j in range(HIDDEN):
-                    place[k, :, j] = np.bincount(x, weights=dz[:, j], minlength=SYMBOLS)
+                units = (x[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+                place[k] = np.bincount(units, weights=dz.ravel(), minlength=SYMBOLS * HIDDEN).reshape(SYMBOLS, HIDDEN)
             t += 1
             for value, g, (m, v) in zip(self.parameters(), (place, dz.sum(0), h.T @ p, p.sum(0)), state, strict=True):
                 m += 0.1 * (g - m)

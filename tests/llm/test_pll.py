@@ -63,3 +63,17 @@ def test_scores_every_word_of_the_corpus(spark, rng, monkeypatch):
     line, at = net.windows(text, off)
     expected = net.log_probabilities(line, at).sum() + sum(np.log(n[w] / (net.totals[s] + 1)) for w, s in zip(text.to_pylist(), line[at], strict=True))
     assert np.isclose(got[1000 + rows[0][0]], expected)
+
+
+def test_every_word_is_a_target_at_the_production_value(spark, rng):
+    short = [(i, " ".join("one two three four".split()[: 1 + i % 4])) for i in range(40)]
+    assert np.abs(pll.fit(frame(spark, short)).out_bias).max() > 0
+    for n in range(1, 40):
+        place = np.arange(n)
+        assert sum(((place + n) % pll.EVERY == turn * pll.EVERY // pll.ROUNDS).astype(int) for turn in range(pll.ROUNDS)).tolist() == [1] * n
+    cycle = "one two three four five six seven".split()
+    docs = [(i, " ".join(cycle[(i + j) % 7] for j in range(300))) for i in range(200)]
+    shuffled = docs[0][1].split()
+    rng.shuffle(shuffled)
+    got = {r.doc_id: r.mean_log_likelihood for r in pll.score(frame(spark, [(1, docs[0][1]), (2, " ".join(shuffled))]), pll.fit(frame(spark, docs))).collect()}
+    assert got[1] > got[2] + 0.5
