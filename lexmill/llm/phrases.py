@@ -7,14 +7,15 @@ bounded size, and these go through the steps:
    anchors, and neighbours mostly share theirs. Blocks exchange their distinct anchors, by ranges of the
    hash, and learn which occur more than once. Documents that repeat an earlier one as a whole are
    found in the same exchange.
-2. Windows with such an anchor are confirmed: blocks exchange a 96-bit hash of each, with the place of
-   its first occurrence, and learn which recur and where the first of all is.
-3. Each block puts its confirmed windows together to passages, compiles these into Aho-Corasick automata,
-   sharded so that none has more than about ``SHARD`` words, and streams all its documents through them to locate
-   every occurrence. In the automata's alphabet a word is one character, so that a match is one of whole, equal words.
-
-A block sends each anchor and window once, however often it has them, so that a phrase in every
-document is no hot group. What blocks send are records in numpy arrays, gathered and dealt out to buckets by
+2. Neighbouring windows with one such anchor are a segment. Blocks stream the segments of all their documents to the shard of
+   their anchor. There the windows that occur more than once are confirmed, and runs of them are the recurring passages.
+3. Each shard compiles its passages, whichever block they come from, into Aho-Corasick automata of no more than about ``SHARD`` words,
+   and streams the segments of all blocks through them. The matches are the occurrences; the first in the order of documents stays. In an
+   automaton's alphabet a word is one character, so that a match is one of whole, equal words.
+
+A block sends each anchor and segment once, however often it has them, and copies what is found in one to the others that it equals,
+so that a phrase in every document is no hot group. Windows whose anchor occurs more than ``HOT`` times are segments of their own, dealt by
+their own hash, so that a common phrase in many surroundings is none either. What blocks send are records in numpy arrays, gathered and dealt out to buckets by
 their key; where there are more buckets than ``FAN``, they are dealt in two steps, so that the pieces stay large however
 many blocks and buckets there are.
 """
@@ -25,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import coded, cut, mix64, rolling, slices, starts_within, word_hashes, words_of
 
-#: Words of a window, and of the phrases that its anchor is chosen from.
-WINDOW, PHRASE = 20, 6
+#: Words of a window, and of the phrases that its anchor is chosen from; windows of a segment; occurrences of an anchor beyond which it is hot.
+WINDOW, PHRASE, SPAN, HOT = 20, 6, 15, 2_000
+#: Words of the longest segment.
+LONGEST = SPAN + WINDOW - 1
 #: Bytes of text in a block, about; words in an automaton; blocks to each bucket of hashes.
 BLOCK_BYTES, SHARD, BLOCKS_PER_BUCKET = 2_000_000, 500_000, 8
 #: Buckets that one step deals to; records that a task gathers before it deals them; buckets of small inputs.
@@ -52,10 +56,11 @@ def _zip(*arrays: np.ndarray) -> bytes:
 
 
 ROW = "kind int, bucket long, blob binary"
-#: The arrays of each kind of record, and which of them is the key: 0 anchors (hash, home, more than once there), 1 documents (hash, hash,
-#: home, id, row), 2 windows (hash, hash, home, id, start, place, more than once there); answers go home: 3 anchors that recur
-#: (hash, home), 4 documents that repeat an earlier one (row, home), 5 windows that recur (place, home, first id, first start).
-KINDS = {0: (("u8", "i8", "?"), 0), 1: (("u8", "u8", "i8", "i8", "i4"), 0), 2: (("u8", "u4", "i8", "i8", "i4", "i4", "?"), 0), 3: (("u8", "i8"), 1), 4: (("i4", "i8"), 1), 5: (("i4", "i8", "i8", "i4"), 1)}
+#: The arrays of each kind of record, and which of them is the key: 0 anchors (hash, home, how often there), 1 documents (hash, hash,
+#: home, id, row), 2 segments (anchor, or hash of its one window, home, id, start, place, windows, more than once there, hashes of its words); answers go home: 3 anchors that recur
+#: (hash, home, hot), 4 documents that repeat an earlier one (row, home), 5 windows that recur (place, home, first id, first start), 6 segments that
+#: equal another of their block (place, home, place of that one, windows).
+KINDS = {0: (("u8", "i8", "i4"), 0), 1: (("u8", "u8", "i8", "i8", "i4"), 0), 2: (("u8", "i8", "i8", "i4", "i4", "i4", "?", f"V{8 * LONGEST}"), 0), 3: (("u8", "i8", "?"), 1), 4: (("i4", "i8"), 1), 5: (("i4", "i8", "i8", "i4"), 1), 6: (("i4", "i8", "i4", "i4"), 1)}
 
 
 class Records:
@@ -160,14 +165,13 @@ class Block:
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().combine_chunks()
         self.doc_id = table.column("doc_id")
         self.key = np.array([LAST if x is None else x for x in self.doc_id.to_pylist()], np.int64)
-        text = table.column("text").combine_chunks()
-        self.words, self.off = words_of(text)
-        self.code, self.vocab = coded(self.words)
+        self.words, self.off = words_of(table.column("text").combine_chunks())
         self.size = np.diff(self.off)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
 
     def hashes(self) -> np.ndarray:
-        return word_hashes(self.vocab)[self.code]
+        code, vocab = coded(self.words)
+        return word_hashes(vocab)[code]
 
     def window_places(self) -> np.ndarray:
         return np.flatnonzero(starts_within(self.off, WINDOW))
@@ -205,7 +209,7 @@ def _send_anchors(buckets: int):
                 found, count = np.unique(anchors(h, b.window_places())[1], return_counts=True)
                 rows = np.flatnonzero(b.size >= WINDOW).astype(np.int32)
                 whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(h[b.off[i] : b.off[i + 1]].tobytes()), np.uint64) for i in rows], np.uint64).reshape(-1, 2)
-                out.add(0, found, np.full(len(found), home), count > 1)
+                out.add(0, found, np.full(len(found), home), count.astype(np.int32))
                 out.add(1, whole[:, 0], whole[:, 1], np.full(len(rows), home), b.key[rows], rows)
                 if out.size >= GATHER:
                     yield from out.dealt(buckets).to_batches()
@@ -227,13 +231,13 @@ def _recurring(homes: int):
 
     def run(table: pa.Table) -> pa.Table:
         got, out = Records().read(table), Records()
-        value, home, multi = got.of(0)
+        value, home, count = got.of(0)
         if len(value):
             order = np.argsort(value, kind="stable")
-            new = _starts_of_groups(value[order])
-            group = np.cumsum(new) - 1
-            many = ((np.bincount(group) > 1) | (np.bincount(group, weights=multi[order]) > 0))[group]
-            out.add(3, value[order][many], home[order][many])
+            group = np.cumsum(_starts_of_groups(value[order])) - 1
+            total = np.bincount(group, weights=count[order])[group]
+            many = total > 1
+            out.add(3, value[order][many], home[order][many], total[many] > HOT)
         a, b, home, key, row = got.of(1)
         if len(a):
             order = np.lexsort((key, b, a))
@@ -248,7 +252,7 @@ def _recurring(homes: int):
 def _blocks_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, Block, Records]]:
     """The blocks of a group, each with the answers to it."""
     got = Records().read(right)
-    answers = {kind: got.of(kind) for kind in (3, 4, 5)}
+    answers = {kind: got.of(kind) for kind in (3, 4, 5, 6)}
     for home, blob in zip(left.column("home").to_pylist(), left.column("blob").to_pylist(), strict=True):
         own = Records()
         for kind, arrays in answers.items():
@@ -257,11 +261,23 @@ def _blocks_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, Block, Re
         yield home, Block(blob), own
 
 
-def _send_windows(buckets: int):
+def segments(places: np.ndarray, anchor: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring places with one anchor, ``SPAN`` at most, and each of ``alone`` by itself: where in ``places`` each begins, and its windows."""
+    new = np.ones(len(places), bool)
+    new[1:] = (places[1:] != places[:-1] + 1) | (anchor[1:] != anchor[:-1]) | alone[1:]
+    runs = np.flatnonzero(new)
+    new |= (np.arange(len(places)) - runs[np.cumsum(new) - 1]) % SPAN == 0
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(places)))
+
+
+def _send_segments(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = Records()
         for home, b, answers in _blocks_of(left, right):
-            known = np.unique(answers.of(3)[0])
+            known, _, hot = answers.of(3)
+            order = np.argsort(known)
+            known, hot = known[order], hot[order]
             places = b.window_places()
             skip = np.zeros(len(b.size), bool)
             skip[answers.of(4)[0]] = True
@@ -269,117 +285,154 @@ def _send_windows(buckets: int):
             if not len(known) or not len(places):
                 continue
             h = b.hashes()
-            least = anchors(h, places)[0]
-            places = places[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-            h1, h2 = (x[places] for x in _window_hashes(h))
-            key, start = b.key[b.doc[places]], (places - b.off[b.doc[places]]).astype(np.int32)
-            order = np.lexsort((start, key, h2, h1))
-            at = np.flatnonzero(_starts_of_groups(h1[order], h2[order]))
-            multi = np.diff(np.append(at, len(order))) > 1
-            first = order[at]
-            by_place = np.argsort(places[first], kind="stable")
+            anchor = anchors(h, places)[0]
+            which = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            some = known[which] == anchor
+            places, anchor, alone = places[some], anchor[some], hot[which[some]]
+            if not len(places):
+                continue
+            at, n = segments(places, anchor, alone)
+            place, whole = places[at], rolling(h, WINDOW)
+            key = np.where(alone[at], whole[place], anchor[at])
+            doc = b.doc[place]
+            own, start = b.key[doc], (place - b.off[doc]).astype(np.int32)
+            ends = whole[place], whole[place + n - 1]  # together all words of a segment
+            order = np.lexsort((start, own, n, *ends))
+            new = _starts_of_groups(n[order], ends[0][order], ends[1][order])
+            first = order[new]
+            copies = np.flatnonzero(~new)
+            out.add(6, place[order[copies]].astype(np.int32), np.full(len(copies), home), place[first][np.cumsum(new)[copies] - 1].astype(np.int32), n[order[copies]].astype(np.int32))
+            multi = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+            by_place = np.argsort(place[first], kind="stable")
             first, multi = first[by_place], multi[by_place]
-            out.add(2, h1[first], h2[first], np.full(len(first), home), key[first], start[first], places[first].astype(np.int32), multi)
+            for a in range(0, len(first), 50_000):
+                f = first[a : a + 50_000]
+                within = np.arange(LONGEST) < n[f][:, None] + WINDOW - 1
+                words = np.where(within, h[np.minimum(place[f][:, None] + np.arange(LONGEST), len(h) - 1)], np.uint64(0))
+                out.add(2, key[f], np.full(len(f), home), own[f], start[f], place[f].astype(np.int32), n[f].astype(np.int32), multi[a : a + 50_000], np.ascontiguousarray(words).view(f"V{8 * LONGEST}").ravel())
         return out.dealt(buckets)
 
     return run
 
 
-def _first_places(homes: int):
-    """Of one bucket: the blocks' windows that recur, with the first occurrence of all."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out = Records()
-        h1, h2, home, key, start, place, multi = Records().read(table).of(2)
-        if len(h1):
-            order = np.lexsort((start, key, h2, h1))
-            new = _starts_of_groups(h1[order], h2[order])
-            group = np.cumsum(new) - 1
-            many = (np.bincount(group) > 1) | (np.bincount(group, weights=multi[order]) > 0)
-            head = order[np.flatnonzero(new)][group]
-            keep = np.flatnonzero(many[group])
-            order, head = order[keep], head[keep]
-            by_home = np.lexsort((place[order], home[order]))  # neighbours compress well
-            order, head = order[by_home], head[by_home]
-            out.add(5, place[order], home[order], key[head], start[head])
-        return out.dealt(homes)
-
-    return run
-
-
 def _characters(code: np.ndarray) -> np.ndarray:
     """Small numbers as code points that aren't surrogates."""
     return (code + np.where(code >= 0xD800, 0x800, 0)).astype(np.uint32)
 
 
-def occurrences(b: Block, runs: list[tuple[int, int]], shard: int = SHARD) -> np.ndarray:
-    """Stream a block through automata of its passages, given as ranges of words: True for each place where a window of an occurrence begins."""
+def automaton_matches(stream: str, passages: list[tuple[int, int]]) -> np.ndarray:
+    """Every occurrence in ``stream`` of the passages, given as ranges of it: rows (end, number of the passage)."""
     import ahocorasick
 
-    edge = np.zeros(len(b.code) + 1, np.int64)
-    doc_of = np.repeat(np.arange(len(b.size)), b.size + 1)
-    at = 0
-    while at < len(runs):
-        upto, words = at, 0
-        while upto < len(runs) and (words == 0 or words + runs[upto][1] - runs[upto][0] <= shard):
-            words += runs[upto][1] - runs[upto][0]
-            upto += 1
-        some, at = runs[at:upto], upto
-        letters = np.unique(np.concatenate([b.code[x:y] for x, y in some]))
-        alphabet = np.zeros(len(b.vocab), np.int64)
-        alphabet[letters] = np.arange(len(letters)) + 2
-        line = np.ones(len(b.code) + len(b.size), np.uint32)  # 1: a word of no passage, or the end of a document
-        line[np.arange(len(b.code)) + b.doc] = np.maximum(_characters(alphabet[b.code]), 1)
-        stream = line.tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for x, y in some:
-            shift = int(b.doc[x])
-            automaton.add_word(stream[x + shift : y + shift], y - x)
-        automaton.make_automaton()
-        found = np.fromiter(automaton.iter(stream), np.dtype([("end", np.int64), ("n", np.int64)]))
-        last = found["end"] - doc_of[found["end"]]
-        edge += np.bincount(last - found["n"] + 1, minlength=len(edge))
-        edge -= np.bincount(last - WINDOW + 2, minlength=len(edge))
-    return np.cumsum(edge)[:-1] > 0
+    automaton = ahocorasick.Automaton()
+    for i, (x, y) in enumerate(passages):
+        automaton.add_word(stream[x:y], i)
+    automaton.make_automaton()
+    return np.fromiter(automaton.iter(stream), np.dtype([("end", np.int64), ("passage", np.int64)]))
+
+
+def occurrences(words: np.ndarray, off: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where recurring windows occur in segments, given by their flat words and offsets, and which window each is. ``multi``: segments that count twice."""
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    places = np.flatnonzero(starts_within(off, WINDOW))
+    h1, h2 = (x[places] for x in _window_hashes(words))
+    order = np.lexsort((h2, h1))
+    group = np.cumsum(_starts_of_groups(h1[order], h2[order])) - 1
+    many = np.bincount(group, weights=1 + multi[owner[places[order]]]) > 1
+    window = np.empty(len(places), np.int64)
+    window[order] = np.where(many[group], group, -1)
+    sure = window >= 0  # confirmed
+    if not sure.any():
+        return places[:0], window[:0]
+    at = places[sure]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+    runs = np.flatnonzero(new)
+    code, letters = coded(pa.array(words))
+    line = np.ones(len(words) + len(off), np.uint32)  # 1: the end of a segment
+    line[np.arange(len(words)) + owner] = _characters(code + 2)
+    stream = line.tobytes().decode("utf-32-le")
+    begin = at[runs]
+    n = np.diff(np.append(runs, len(at)))
+    shift = begin + owner[begin]
+    distinct: dict[str, int] = {}
+    for i, (x, y) in enumerate(zip(shift.tolist(), (shift + n + WINDOW - 1).tolist(), strict=True)):
+        distinct.setdefault(stream[x:y], i)
+    some = np.fromiter(distinct.values(), np.int64, len(distinct))
+    found = automaton_matches(stream, list(zip(shift[some].tolist(), (shift[some] + n[some] + WINDOW - 1).tolist(), strict=True)))
+    run = some[found["passage"]]
+    first = found["end"] - (n[run] + WINDOW - 1) + 1
+    step = np.arange(int(n[run].sum())) - np.repeat(np.cumsum(n[run]) - n[run], n[run])
+    which = np.full(len(line), -1, np.int64)
+    which[np.repeat(first, n[run]) + step] = window[sure][np.repeat(runs[run], n[run]) + step]
+    which = which[np.arange(len(words)) + owner]
+    located = np.flatnonzero(which >= 0)
+    return located, which[located]
+
+
+def _locate(homes: int, shard: int):
+    """Of one bucket: where the windows that recur are, and the first occurrence of each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got, out = Records().read(table), Records()
+        out.add(6, *got.of(6))
+        anchor, home, key, start, place, n, multi, words = got.of(2)
+        order = np.lexsort((place, home, anchor))
+        n = n.astype(np.int64)
+        upto = np.cumsum(n[order] + WINDOW - 1)
+        edges = np.append(np.flatnonzero(_starts_of_groups(anchor[order])), len(order)) if len(order) else np.zeros(1, np.int64)
+        a = 0
+        while a < len(edges) - 1:  # whole groups of one anchor, of about a shard's words
+            base = upto[edges[a] - 1] if edges[a] else 0
+            b = max(a + 1, int(np.searchsorted(upto[edges[1:] - 1], base + shard, side="right")))
+            seg = order[edges[a] : edges[b]]
+            a = b
+            size = n[seg] + WINDOW - 1
+            off = np.concatenate([[0], np.cumsum(size)])
+            table_ = words[seg].view(np.uint64).reshape(-1, LONGEST)
+            at, window = occurrences(table_[np.arange(LONGEST) < size[:, None]], off, multi[seg])
+            if not len(at):
+                continue
+            own = np.searchsorted(off, at, side="right") - 1
+            step = at - off[own]
+            own = seg[own]
+            own_start = start[own] + step
+            by = np.lexsort((own_start, key[own], window))
+            new = _starts_of_groups(window[by])
+            head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            place_ = place[own[by]] + step[by]
+            tidy = np.lexsort((place_, home[own[by]]))  # neighbours compress well
+            by, head, place_ = by[tidy], head[tidy], place_[tidy]
+            out.add(5, place_.astype(np.int32), home[own[by]], key[own[head]], own_start[head].astype(np.int32))
+        return out.dealt(homes)
+
+    return run
 
 
 def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rolling(h, WINDOW), (rolling(h ^ OTHER, WINDOW, 0x5851F42D4C957F2D) >> np.uint64(32)).astype(np.uint32)
 
 
-def _keep(b: Block, answers: Records, shard: int) -> pa.Table:
-    place, _, key, start = answers.of(5)
-    gone = np.zeros(len(b.code), bool)
-    if len(place):
-        # Which window of those that recur begins at each place, and so where it is first.
-        h1, h2 = _window_hashes(b.hashes())
-        order = np.argsort(h1[place])
-        place, key, start = place[order], key[order], start[order]
-        places = b.window_places()
-        known = np.minimum(np.searchsorted(h1[place], h1[places]), len(place) - 1)
-        same = (h1[place[known]] == h1[places]) & (h2[place[known]] == h2[places])
-        places, known = places[same], known[same]
-        ends = np.flatnonzero(np.diff(places) != 1)
-        runs = zip(places[np.concatenate([[0], ends + 1])].tolist(), (places[np.concatenate([ends, [len(places) - 1]])] + WINDOW).tolist(), strict=True)
-        passages = {b.code[x:y].tobytes(): (x, y) for x, y in runs}
-        located = occurrences(b, list(passages.values()), shard)[places]
-        doc = b.doc[places]
-        later = located & ~((b.key[doc] == key[known]) & (places - b.off[doc] == start[known]))
-        edge = np.zeros(len(b.code) + 1, np.int64)
-        np.add.at(edge, places[later], 1)
-        np.add.at(edge, places[later] + WINDOW, -1)
-        gone = np.cumsum(edge)[:-1] > 0
+def _keep(b: Block, answers: Records) -> pa.Table:
+    total = len(b.words)
+    key, start = np.zeros(total, np.int64), np.full(total, -1, np.int32)  # at each place the first occurrence of its window, where it recurs
+    place, _, first_key, first_start = answers.of(5)
+    key[place], start[place] = first_key, first_start
+    copy, _, like, n = answers.of(6)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    to, of = np.repeat(copy, n) + step, np.repeat(like, n) + step
+    key[to], start[to] = key[of], start[of]
+    places = np.flatnonzero(start >= 0)
+    doc = b.doc[places]
+    later = places[(b.key[doc] != key[places]) | (places - b.off[doc] != start[places])]
+    edge = np.bincount(later, minlength=total + 1) - np.bincount(later + WINDOW, minlength=total + 1)
+    gone = np.cumsum(edge)[:-1] > 0
     copies = np.zeros(len(b.size), bool)
     copies[answers.of(4)[0]] = True
     gone |= copies[b.doc]
-    words = b.words.to_pylist()
-    kept = []
-    n_gone = np.bincount(b.doc[gone], minlength=len(b.size))
-    for i in range(len(b.size)):
-        x, y = b.off[i], b.off[i + 1]
-        own = words[x:y]
-        kept.append(" ".join(own if not n_gone[i] else [w for w, g in zip(own, gone[x:y].tolist(), strict=True) if not g]))
-    return pa.table({"doc_id": b.doc_id, "n_words": pa.array(b.size, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.string())})
+    kept = np.concatenate([[0], np.cumsum(~gone)])[b.off]
+    texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(kept, pa.int64()), b.words.filter(pa.array(~gone))), pa.scalar(" ", pa.large_string()))
+    return pa.table({"doc_id": b.doc_id, "n_words": pa.array(b.size, pa.int64()), "n_removed": pa.array(b.size - np.diff(kept), pa.int64()), "kept": texts.cast(pa.string())})
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int = SHARD, fan: int = FAN) -> DataFrame:
@@ -400,11 +453,11 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int =
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
-        return pa.concat_tables([empty, *(_keep(b, answers, shard) for _, b, answers in _blocks_of(left, right))])
+        return pa.concat_tables([empty, *(_keep(b, answers) for _, b, answers in _blocks_of(left, right))])
 
     sent = _dealt_again(blocks.mapInArrow(_send_anchors(first), ROW), buckets, fan)
     recurring = cut(_dealt_again(sent.groupBy("bucket").applyInArrow(_recurring(min(homes, fan)), ROW), homes, fan))
-    windows = blocks.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_send_windows(first), ROW)
-    found = _dealt_again(windows, buckets, fan).groupBy("bucket").applyInArrow(_first_places(min(homes, fan)), ROW)
+    streamed = blocks.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_send_segments(first), ROW)
+    found = _dealt_again(streamed, buckets, fan).groupBy("bucket").applyInArrow(_locate(min(homes, fan), shard), ROW)
     answers = _dealt_again(found, homes, fan).unionByName(recurring.where("kind = 4"))
     return blocks.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

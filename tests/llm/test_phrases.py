@@ -1,5 +1,7 @@
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lexmill.llm import phrases
@@ -47,3 +49,43 @@ def test_against_all_windows(spark, rng, block, fan):
 def test_empty(spark):
     assert phrases.remove_repeats(frame(spark, [])).count() == 0
     assert [(r.n_words, r.kept) for r in phrases.remove_repeats(frame(spark, [(1, None)])).collect()] == [(0, "")]
+
+
+@pytest.fixture
+def no_task(monkeypatch):
+    """A task's number, outside Spark."""
+    monkeypatch.setattr(phrases, "TaskContext", type("One", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+
+
+def test_a_hot_anchor_and_copies_in_a_block(no_task, rng, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT", 5)
+    passage = sentence(rng, 26)
+    rows = [(i, f"{sentence(rng, 12)} {passage if i % 3 else ' '.join(passage.split()[4:25])} {sentence(rng, 12)}") for i in range(60)]
+    rows += [(100 + i, passage) for i in range(9)] + [(3, rows[3][1])]
+    expected, key = brute(rows)
+    blob = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    got = local(blob, 900)
+    assert [(n, k) for _, n, k in got] == [(len(w) - len(expected[key(d), w]), " ".join(expected[key(d), w])) for d, w in ((d, tuple(WORD.findall(t))) for d, t in rows)]
+
+
+def local(table, block):
+    """The steps without Spark, in one bucket and home: (doc_id, n_removed, kept) by row."""
+    blocks = pa.Table.from_batches(phrases._blocks(iter(table.to_batches(max_chunksize=7)), block))
+    homes = blocks.column("home").to_pylist()
+    gather = lambda tables: pa.concat_tables([phrases.Records().dealt(1), *tables])
+    only = lambda t, kinds: t.filter(pc.is_in(t["kind"], pa.array(kinds, pa.int32())))
+    recurring = phrases._recurring(1)(gather(pa.Table.from_batches([b]) for b in phrases._send_anchors(1)(iter(blocks.to_batches()))))
+    found = phrases._locate(1, 200)(phrases._send_segments(1)(blocks, recurring))
+    out = [phrases._keep(b, a) for _, b, a in phrases._blocks_of(blocks, gather([found, only(recurring, [4])]))]
+    assert len(out) == len(homes)
+    kept = pa.concat_tables(out)
+    return list(zip(*(kept.column(c).to_pylist() for c in ("doc_id", "n_removed", "kept")), strict=True))
+
+
+def test_the_automata_locate_the_occurrences(no_task, rng, monkeypatch):
+    passage = sentence(rng, 40)
+    table = pa.table({"doc_id": pa.array(range(6), pa.int64()), "text": [f"{sentence(rng, 5)} {passage} {sentence(rng, 5)}" for _ in range(6)]})
+    assert [n for _, n, _ in local(table, 100)] == [0, 40, 40, 40, 40, 40]
+    match = phrases.automaton_matches
+    monkeypatch.setattr(phrases, "automaton_matches", lambda stream, passages: match(stream, passages)[:0])
+    assert [n for _, n, _ in local(table, 100)] == [0] * 6
