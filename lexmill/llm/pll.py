@@ -1,14 +1,16 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts each word from the ``SIDE`` words on both sides of it: an embedding for each
-place of the window, summed, a tanh layer, and a class-factored softmax. It is written and trained in numpy.
-A document's score is the sum of the log-probabilities of all its words, each masked in turn:
-log p(symbol | both sides) + log p(word | symbol).
+place of the window, summed, a tanh layer, and a factored softmax, over groups of symbols and over the symbols of a group. It is
+written and trained in numpy. A document's score is the sum of the log-probabilities of all its words, each masked in turn:
+log p(group | both sides) + log p(symbol | group, both sides) + log p(word | symbol).
 
-The network predicts a fixed number of symbols: the most frequent words of the whole corpus (as buckets of a hash), and for
+The network predicts a fixed number of symbols, by falling frequency in groups: the most frequent words of the whole corpus (as buckets of a hash), and for
 the other words a class by their last letters. The vocabulary is every word of the corpus: p(word | symbol) is the word's
 count in all documents to its symbol's. Those counts lie in shards, by the words' hashes, that grow in number with the corpus;
-blocks of documents ask the shards for the counts of their distinct words, so that no process holds the vocabulary. Training covers all documents: in each of ``ROUNDS``
+blocks of documents ask the shards for the counts of their distinct words, so that no process holds the vocabulary.
+
+Texts are read once, into blocks of numbered words (``encode``), which the counts, the training and the scores are made from. Training covers all documents: in each of ``ROUNDS``
 rounds every task masks every ``EVERY``-th word of its documents, with another offset each round so that each word is once a target, and trains its own copy
 of the network; Spark averages the copies, weighted by the words trained on, in fixed-point numbers so that
 reruns agree. The network is of a fixed size; the word counts grow with the corpus.
@@ -28,18 +30,21 @@ from pyspark.sql import functions as F
 
 from .shared import coded, cut, slices, word_hashes, words_of
 
-#: Symbols: 0 stands outside a document, then known words, then classes of other words.
-SYMBOLS, CLASSES = 256, 64
+#: Symbols (0 stands outside a document, then known words, then classes of other words), the classes among them, and groups.
+SYMBOLS, CLASSES, GROUPS = 1024, 256, 32
+WIDTH = SYMBOLS // GROUPS
 #: Hidden units; words on each side; buckets that words are counted in.
 HIDDEN, SIDE, BUCKETS = 16, 3, 2**16
 #: Rounds of training, and one word in how many each round masks: every word once over the rounds.
 ROUNDS, EVERY = 2, 2
-BATCH, RATE = 2048, 0.01
+#: Words of a training step at most, and steps that a smaller block is cut into.
+BATCH, STEPS_OF_BLOCK, RATE = 4096, 64, 0.01
 #: Steps to one in a fixed-point parameter; words to one unit of weight.
 STEPS, UNIT = 2**24, 10_000
-#: Bytes of text to a shard of the word counts, and to a block of documents that asks for counts; distinct words a task holds.
+#: Bytes of text to a shard of the word counts, and to a block of documents; distinct words a task holds.
 SHARD_BYTES, BLOCK_BYTES, HELD = 2**25, 2**23, 1_000_000
 COUNTS = "hashes binary, counts binary"
+BLOCKS = "home long, size long, blob binary"
 
 
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
@@ -56,12 +61,87 @@ def classes_of(words: pa.Array) -> np.ndarray:
     return (raw[ends[1:] - 1] * 31 + np.where(np.diff(ends) > 1, raw[ends[1:] - 2], 0)) % CLASSES
 
 
+@dataclass
+class Block:
+    """Documents in numbered words: ids (null where ``null``), offsets, each word's number, and the hash and class of each number."""
+
+    doc_id: np.ndarray
+    null: np.ndarray
+    off: np.ndarray
+    idx: np.ndarray
+    hashes: np.ndarray
+    classes: np.ndarray
+
+    @classmethod
+    def of(cls, doc_id: pa.Array, texts: pa.Array) -> Block:
+        words, off = words_of(texts)
+        idx, vocab = coded(words)
+        null = doc_id.is_null().to_numpy(zero_copy_only=False)
+        return cls(doc_id.fill_null(0).to_numpy(zero_copy_only=False), null, off, idx.astype(np.int32), word_hashes(vocab, seed=5), classes_of(vocab).astype(np.int16))
+
+    def packed(self) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self, 5))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Block:
+        import zstandard
+
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))  # noqa: S301  of our own making
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.idx, minlength=len(self.hashes)).astype(np.int64)
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        block = Block.of(table.column("doc_id").combine_chunks(), table.column("text").cast(pa.large_string()).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([size], pa.int64()), pa.array([block.packed()], pa.binary())], names=["home", "size", "blob"])
+
+    home, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in slices(batches, chars=BLOCK_BYTES // 4):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield flush()
+            home, held, size = home + 1, [], 0
+    if held:
+        yield flush()
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """``docs (doc_id, text, ...)`` in blocks of numbered words (home, size, blob), written to the shared folder."""
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode, BLOCKS))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    return docs if docs.columns == ["home", "size", "blob"] else encode(docs)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _own(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row's column."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), column]
+    return own - np.log(np.exp(x, out=x).sum(1))
+
+
 @dataclass
 class Network:
     known: np.ndarray  # bucket -> symbol, or 0
     place: np.ndarray  # places x symbols x hidden
     bias: np.ndarray
-    out: np.ndarray  # hidden x symbols
+    top: np.ndarray  # hidden x groups
+    top_bias: np.ndarray
+    out: np.ndarray  # groups x hidden x symbols of a group
     out_bias: np.ndarray
     totals: np.ndarray | None = None  # symbol -> words of the corpus
     words: DataFrame | None = None  # (shard, hashes, counts): each word's count in the corpus
@@ -70,8 +150,15 @@ class Network:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "words": None}
 
+    @classmethod
+    def new(cls, known: np.ndarray, seed: int = 0) -> Network:
+        rng = np.random.default_rng(seed)
+        draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        zero = lambda *shape: np.zeros(shape, np.float32)
+        return cls(known, draw(2 * SIDE, SYMBOLS, HIDDEN), zero(HIDDEN), draw(HIDDEN, GROUPS), zero(GROUPS), draw(GROUPS, HIDDEN, WIDTH), zero(GROUPS, WIDTH), np.zeros(SYMBOLS, np.int64))
+
     def parameters(self) -> list[np.ndarray]:
-        return [self.place, self.bias, self.out, self.out_bias]
+        return [self.place, self.bias, self.top, self.top_bias, self.out, self.out_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -82,64 +169,78 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's place among the distinct words, and their hashes and symbols."""
-        idx, vocab = coded(words)
-        hashes = word_hashes(vocab, seed=5)
-        s = self.known[buckets_of(hashes)]
-        return idx, hashes, np.where(s > 0, s, SYMBOLS - CLASSES + classes_of(vocab)).astype(np.int32)
-
-    def windows(self, words: pa.Array, off: np.ndarray, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All symbols with ``SIDE`` outside symbols around each document, and the place of each word there."""
-        if symbols is None:
-            idx, _, own = self.coded(words)
-            symbols = own[idx]
+    def symbols(self, b: Block) -> np.ndarray:
+        """Of each numbered word."""
+        s = self.known[buckets_of(b.hashes)]
+        return np.where(s > 0, s, SYMBOLS - CLASSES + b.classes).astype(np.int32)
+
+    @staticmethod
+    def windows(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' symbols with ``SIDE`` outside symbols around each document, and the place of each word there."""
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        at = np.arange(len(words)) + (doc + 1) * SIDE
-        line = np.zeros(len(words) + len(off) * SIDE, np.int32)
+        at = np.arange(len(symbols)) + (doc + 1) * SIDE
+        line = np.zeros(len(symbols) + len(off) * SIDE, np.int32)
         line[at] = symbols
         return line, at
 
-    def forward(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def hidden(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         around = [line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]
         z = self.place[0][around[0]] + self.bias
         for k in range(1, 2 * SIDE):
             z += self.place[k][around[k]]
-        h = np.tanh(z, out=z)
-        logits = h @ self.out
-        logits += self.out_bias
-        if np.abs(self.out).sum(0).max() + np.abs(self.out_bias).max() > 60:  # else no exponential can overflow
-            logits -= logits.max(1, keepdims=True)
-        return h, logits, around
+        return np.tanh(z, out=z), around
+
+    @staticmethod
+    def grouped(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order that brings the symbols of a group together, and (group, from, to) in it."""
+        group = symbols // WIDTH
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at))
-        for a in range(0, len(at), BATCH):  # blocks that stay in the processor's cache
+        for a in range(0, len(at), BATCH):  # parts that stay in the processor's cache
             some = at[a : a + BATCH]
-            _, logits, _ = self.forward(line, some)
-            own = logits[np.arange(len(some)), line[some]]
-            out[a : a + BATCH] = own - np.log(np.exp(logits, out=logits).sum(1))
+            order, groups = self.grouped(line[some])
+            some = some[order]
+            h, _ = self.hidden(line, some)
+            target = line[some]
+            own = _own(h @ self.top + self.top_bias, target // WIDTH)
+            for g, x, y in groups:
+                own[x:y] += _own(h[x:y] @ self.out[g] + self.out_bias[g], target[x:y] % WIDTH)
+            out[a + order] = own
         return out
 
     def train(self, line: np.ndarray, at: np.ndarray, state: list[tuple[np.ndarray, np.ndarray]], t: int) -> int:
         """Adam steps over the masked places; returns the steps done so far."""
-        for a in range(0, len(at), BATCH):
-            some = at[a : a + BATCH]
-            h, logits, around = self.forward(line, some)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), line[some]] -= 1
-            p /= len(some)
-            dz = (p @ self.out.T) * (1 - h * h)
-            place = np.zeros_like(self.place)
+        batch = min(BATCH, max(64, len(at) // STEPS_OF_BLOCK))
+        for a in range(0, len(at), batch):
+            some = at[a : a + batch]
+            order, groups = self.grouped(line[some])
+            some = some[order]
+            h, around = self.hidden(line, some)
+            target, n = line[some], len(some)
+            p = _softmax(h @ self.top + self.top_bias)
+            p[np.arange(n), target // WIDTH] -= 1
+            p /= n
+            dh, out, out_bias = p @ self.top.T, np.zeros_like(self.out), np.zeros_like(self.out_bias)
+            for g, x, y in groups:
+                q = _softmax(h[x:y] @ self.out[g] + self.out_bias[g])
+                q[np.arange(y - x), target[x:y] % WIDTH] -= 1
+                q /= n
+                dh[x:y] += q @ self.out[g].T
+                out[g], out_bias[g] = h[x:y].T @ q, q.sum(0)
+            dz = dh * (1 - h * h)
+            place = np.empty_like(self.place)
             for k, x in enumerate(around):
                 units = (x[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
                 place[k] = np.bincount(units, weights=dz.ravel(), minlength=SYMBOLS * HIDDEN).reshape(SYMBOLS, HIDDEN)
             t += 1
-            for value, g, (m, v) in zip(self.parameters(), (place, dz.sum(0), h.T @ p, p.sum(0)), state, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                value -= (RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            for value, g, (m, v) in zip(self.parameters(), (place, dz.sum(0), h.T @ p, p.sum(0), out, out_bias), state, strict=True):
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                value -= np.float32(RATE / (1 - 0.9**t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
         return t
 
 
@@ -172,17 +273,18 @@ def _count(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for batch in slices(batches):
-            idx, vocab = coded(words_of(batch.column("text"))[0])
-            if not len(vocab):
-                continue
-            held.append((word_hashes(vocab, seed=5), np.bincount(idx, minlength=len(vocab)).astype(np.int64)))
-            waiting += len(vocab)
-            if waiting > HELD:
-                held = [_summed(*map(list, zip(*held, strict=True)))]
-                waiting = 0
-                if len(held[0][0]) > HELD:
-                    yield _sharded(*held.pop(), shards, 0)
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                b = Block.unpacked(blob)
+                if not len(b.hashes):
+                    continue
+                held.append((b.hashes, b.counts()))
+                waiting += len(b.hashes)
+                if waiting > HELD:
+                    held = [_summed(*map(list, zip(*held, strict=True)))]
+                    waiting = 0
+                    if len(held[0][0]) > HELD:
+                        yield _sharded(*held.pop(), shards, 0)
         if held:
             yield _sharded(*_summed(*map(list, zip(*held, strict=True))), shards, 0)
 
@@ -210,15 +312,18 @@ def _train(held, turn: int, every: int):
         net: Network = pickle.loads(held.value)  # noqa: S301  of our own making
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
         trained, t, totals = 0, 0, np.zeros(SYMBOLS, np.int64)
-        for batch in slices(batches):
-            words, off = words_of(batch.column("text"))
-            line, at = net.windows(words, off)
-            if turn == 0:
-                totals += np.bincount(line[at], minlength=SYMBOLS)
-            place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
-            some = at[(place + np.repeat(np.diff(off), np.diff(off))) % every == turn * every // ROUNDS]
-            t = net.train(line, np.random.default_rng(len(some)).permutation(some), state, t)
-            trained += len(some)
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                b = Block.unpacked(blob)
+                own = net.symbols(b)
+                if turn == 0:
+                    totals += np.bincount(own, weights=b.counts(), minlength=SYMBOLS).astype(np.int64)
+                line, at = net.windows(own[b.idx], b.off)
+                size = np.diff(b.off)
+                place = np.arange(len(b.idx)) - np.repeat(b.off[:-1], size)
+                some = at[(place + np.repeat(size, size)) % every == turn * every // ROUNDS]
+                t = net.train(line, np.random.default_rng(len(some)).permutation(some), state, t)
+                trained += len(some)
         if trained:
             weight = -(-trained // UNIT)
             flat = np.round(net.flat().astype(np.float64) * STEPS).astype(np.int64) * weight
@@ -231,22 +336,22 @@ def _train(held, turn: int, every: int):
 
 
 def fit(docs: DataFrame, every: int = EVERY) -> Network:
-    """A network of a fixed size, and the counts of all words, from all of ``docs (text, ...)``."""
-    spark = docs.sparkSession
-    texts = docs.select("text").where("text IS NOT NULL")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """A network of a fixed size, and the counts of all words, from all of ``docs (doc_id, text, ...)`` or what ``encode`` made of them."""
+    spark, blocks = docs.sparkSession, _blocks(docs)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
     shards = min(BUCKETS, 1 + size // SHARD_BYTES)
-    vocabulary = cut(texts.mapInArrow(_count(shards), f"shard long, home long, {COUNTS}").groupBy("shard").applyInArrow(_sum_shard, f"shard long, {COUNTS}"))
+    vocabulary = cut(blocks.mapInArrow(_count(shards), f"shard long, home long, {COUNTS}").groupBy("shard").applyInArrow(_sum_shard, f"shard long, {COUNTS}"))
     counts = vocabulary.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "bucket").limit(SYMBOLS - CLASSES - 1).collect()
     known = np.zeros(BUCKETS, np.int32)
     for k, (bucket, _) in enumerate(top):
         known[bucket] = k + 1
-    rng = np.random.default_rng(0)
-    net = Network(known, (rng.standard_normal((2 * SIDE, SYMBOLS, HIDDEN)) * 0.1).astype(np.float32), np.zeros(HIDDEN, np.float32), (rng.standard_normal((HIDDEN, SYMBOLS)) * 0.1).astype(np.float32), np.zeros(SYMBOLS, np.float32), np.zeros(SYMBOLS, np.int64), vocabulary, shards)
+    net = Network.new(known)
+    net.words, net.shards = vocabulary, shards
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast(pickle.dumps(net))
-        summed = texts.mapInArrow(_train(held, turn, every), "place int, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
+        summed = blocks.mapInArrow(_train(held, turn, every), "place int, value long, weight long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
+        held.destroy()
         if summed.num_rows:
             place, value, weight = (summed.column(c).to_numpy() for c in ("place", "value", "weight"))
             flat = net.flat().astype(np.float64)
@@ -257,36 +362,15 @@ def fit(docs: DataFrame, every: int = EVERY) -> Network:
     return net
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document with the block it is in, ``home``."""
-    home, size = np.int64(TaskContext.get().partitionId()) << np.int64(32), 0
-    for batch in slices(batches):
-        yield batch.append_column("home", pa.array(np.full(batch.num_rows, home)))
-        size += batch.column("text").nbytes
-        if size >= BLOCK_BYTES:
-            home, size = home + 1, 0
-
-
 def _ask(shards: int):
     """The distinct words of each block, to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, held = None, []
-        for batch in slices(batches):
-            homes = batch.column("home").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(homes)) + 1).tolist(), len(homes)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if homes[a] != home and held:
-                    h = np.unique(np.concatenate(held))
-                    yield _sharded(h, np.zeros(len(h), np.int64), shards, home)
-                    held = []
-                home = int(homes[a])
-                _, vocab = coded(words_of(batch.column("text").slice(a, b - a))[0])
-                if len(vocab):
-                    held.append(word_hashes(vocab, seed=5))
-        if held:
-            h = np.unique(np.concatenate(held))
-            yield _sharded(h, np.zeros(len(h), np.int64), shards, home)
+        for batch in batches:
+            for home, blob in zip(batch.column("home").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                h = Block.unpacked(blob).hashes
+                if len(h):
+                    yield _sharded(np.sort(h), np.zeros(len(h), np.int64), shards, home)
 
     return run
 
@@ -303,7 +387,7 @@ def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """One row per row of ``docs (doc_id, text, ...)``: doc_id, n_words, log_likelihood (the sum over all words of
+    """One row per row of ``docs (doc_id, text, ...)``, or of what ``encode`` made of them: doc_id, n_words, log_likelihood (the sum over all words of
     log p(word | both sides)) and mean_log_likelihood.
 
     A word that the network's corpus doesn't hold has the probability of one occurrence more in its symbol. Null and empty
@@ -318,17 +402,17 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_likelihood": pa.array([], pa.float64()), "mean_log_likelihood": pa.array([], pa.float64())})]
-        for batch in slices(left.to_batches()):
-            words, off = words_of(batch.column("text"))
-            idx, vocab, symbols = own.coded(words)
-            line, at = own.windows(words, off, symbols[idx])
-            within = np.log(np.maximum(counts[np.searchsorted(hashes, vocab)], 1) / (own.totals[symbols] + 1.0))
-            upto = np.concatenate([[0.0], np.cumsum(own.log_probabilities(line, at) + within[idx])])
-            total, n = upto[off[1:]] - upto[off[:-1]], np.diff(off)
-            out.append(pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1))}))
+        for blob in left.column("blob").to_pylist():
+            b = Block.unpacked(blob)
+            symbols = own.symbols(b)
+            line, at = own.windows(symbols[b.idx], b.off)
+            within = np.log(np.maximum(counts[np.searchsorted(hashes, b.hashes)], 1) / (own.totals[symbols] + 1.0))
+            upto = np.concatenate([[0.0], np.cumsum(own.log_probabilities(line, at) + within[b.idx])])
+            total, n = upto[b.off[1:]] - upto[b.off[:-1]], np.diff(b.off)
+            out.append(pa.table({"doc_id": pa.array(b.doc_id, pa.int64(), mask=b.null), "n_words": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(total / np.maximum(n, 1))}))
         return pa.concat_tables(out)
 
-    blocks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, "doc_id long, text string, home long"))
+    blocks = _blocks(docs)
     asked = blocks.mapInArrow(_ask(net.shards), f"shard long, home long, {COUNTS}")
     answers = asked.groupBy("shard").cogroup(net.words.groupBy("shard")).applyInArrow(_answer, f"home long, {COUNTS}")
     return blocks.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")

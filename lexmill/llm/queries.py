@@ -54,8 +54,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pll
 
-    docs = _docs(spark, sf_dir)
-    return pll.score(docs, pll.fit(docs))
+    blocks = pll.encode(_docs(spark, sf_dir))
+    return pll.score(blocks, pll.fit(blocks))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
