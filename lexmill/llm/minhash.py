@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import coded, components, cut, mix64, rolling, slices, starts_within, word_hashes, words_of
+from .shared import coded, components, cut, mix64, rolling, slices, small, starts_within, word_hashes, words_of
 
 #: Rows of a signature and rows to a band. At similarity 0.8 a pair shares no band with probability 3e-6.
 N_HASHES, BAND_ROWS = 160, 5
@@ -32,8 +32,8 @@ N_HASHES, BAND_ROWS = 160, 5
 BATCH = 32
 #: A pair goes when the posterior probability of reaching the threshold is under this.
 MISS = 1e-7
-#: Members up to which a bucket has one leader, and members on each side of a block of the second comparison, about.
-PARTS, BLOCK = 64, 256
+#: Members up to which a bucket has one leader; members, and shingles of their sets, on each side of a block of the second comparison, about.
+PARTS, BLOCK, BLOCK_SHINGLES = 64, 256, 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -227,44 +227,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(_sign(shingle), SIGNED))
+    n = signed.count()
     usable = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))  # equal sets have equal signatures
-    reps, classes = classes.select("rep", "signature"), classes.select("set_id", "rep")
+    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("weight")), n)  # equal sets have equal signatures
+    reps, weights, classes = classes.select("rep", "signature"), classes.select("rep", "weight"), classes.select("set_id", "rep")
     bounds = floors(percent / 100, miss)
 
     bands = reps.mapInArrow(_bands, "bucket long, rep long")
     # Cut, so that both sides of the join are plain exchanges and a large bucket can be split.
-    buckets = cut(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(bands.join(buckets, "bucket"))
+    buckets = cut(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), n * N_HASHES // BAND_ROWS)
+    members = cut(bands.join(buckets, "bucket"), n * N_HASHES // BAND_ROWS)
+    m = members.count()
     part = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.sqrt("n")).cast("long"))  # as many heads as members to each
     heads = members.groupBy("bucket", part.alias("part")).agg(F.min("rep").alias("head"), F.first("leader").alias("leader"))
-    small = members.where(F.col("n") <= PARTS).select(F.col("leader").alias("u"), F.col("rep").alias("v"))
+    few = members.where(F.col("n") <= PARTS).select(F.col("leader").alias("u"), F.col("rep").alias("v"))
     large = members.where(F.col("n") > PARTS).withColumn("part", part).join(heads, ["bucket", "part"]).select(F.col("head").alias("u"), F.col("rep").alias("v"))
     top = heads.select(F.col("leader").alias("u"), F.col("head").alias("v"))
-    pairs = small.unionByName(large).unionByName(top).where("u <> v").distinct()
+    pairs = few.unionByName(large).unionByName(top).where("u <> v").distinct()
     sig = reps.select(F.col("rep").alias("u"), F.col("signature").alias("sig_u"))
     survivors = cut(pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_compare(bounds), "u long, v long"))
+    p = survivors.count()
     # The full sets, of representatives in a pair or in a bucket of more than two.
     ids = survivors.select("u").unionByName(survivors.select(F.col("v").alias("u"))).unionByName(members.where("n > 2").select(F.col("rep").alias("u"))).distinct()
-    sets = cut(docs.join(ids, F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"))
+    sets = cut(docs.join(small(cut(ids, m + 2 * p)), F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"))
     both = survivors.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-    links = cut(both.mapInArrow(_exact(percent), "u long, v long").distinct())
-    comps = cut(components(links))
+    links = cut(both.mapInArrow(_exact(percent), "u long, v long").distinct(), p)
+    comps = cut(components(links), 2 * p)
 
     # Buckets whose members are still in different components: those outside the bucket's main
     # component (side 0) with all (side 1), in blocks.
-    known = cut(members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    known = cut(members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")), m)
     split = known.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
-    rest = cut(known.join(cut(split), "bucket").select("main", "rep", "component").distinct())  # buckets of one main component together: each pair once
-    sizes = rest.groupBy("main").agg(F.ceil(F.count(F.when(F.col("component") != F.col("main"), 1)) / BLOCK).cast("long").alias("i_blocks"), F.ceil(F.count("*") / BLOCK).cast("long").alias("j_blocks"))
-    rest = rest.join(sizes, "main")
+    rest = cut(known.join(cut(split, m), "bucket").select("main", "rep", "component").distinct(), m)  # buckets of one main component together: each pair once
+    blocks = lambda some: F.ceil(F.greatest(F.count(F.when(some, 1)) / BLOCK, F.coalesce(F.sum(F.when(some, F.col("weight"))), F.lit(0)) / BLOCK_SHINGLES)).cast("long")
+    sizes = rest.join(weights, "rep").groupBy("main").agg(blocks(F.col("component") != F.col("main")).alias("i_blocks"), blocks(F.lit(True)).alias("j_blocks"))
+    rest = rest.join(cut(sizes, m), "main")
     to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
     left = rest.where("component <> main").select("main", "rep", "component", own("i_blocks").alias("i"), to("j_blocks").alias("j"), F.lit(0).alias("side"))
     right = rest.select("main", "rep", "component", to("i_blocks").alias("i"), own("j_blocks").alias("j"), F.lit(1).alias("side"))
     full = reps.join(sets.withColumnRenamed("id", "rep"), "rep")
     new = left.unionByName(right).join(full, "rep").groupBy("main", "i", "j").applyInArrow(_compare_block(bounds, percent), "u long, v long")
-    new = cut(new.distinct())
+    new = cut(new.distinct(), m)
     if not new.isEmpty():
         comps = components(links.unionByName(new))
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))

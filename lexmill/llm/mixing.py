@@ -75,14 +75,15 @@ def plan(docs: DataFrame, weights: list[float], seed: str = "mix", most: int = 3
     """
     facts = docs.select("doc_id", "source", F.xxhash64("text").alias("tie"), (size if size is not None else size_of()).alias("size"), (quality if quality is not None else quality_of()).alias("quality"))
     facts = cut(facts.withColumn("key", -F.log(uniform(seed, "doc_id")) / F.col("quality")))
-    sizes = cut(facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("quality").alias("rate")))
+    n = facts.count()
+    sizes = cut(facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("quality").alias("rate")), n)
     goal = targets(sizes.select("source", "source_size"), weights, total, most).select(F.col("source").alias("_goal"), "target")
-    named = cut(sizes.join(goal, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal").withColumnRenamed("source", "_source"))
+    named = cut(sizes.join(goal, F.col("source").eqNullSafe(F.col("_goal"))).drop("_goal").withColumnRenamed("source", "_source"), n)
     # Ranges of the key: 1 - exp(-key * mean rate) spreads exponential keys evenly over (0, 1), in their order.
     keyed = facts.join(small(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranges = F.ceil(F.col("rows") / range_rows)
     keyed = keyed.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("rate"))) * ranges), ranges - 1))
-    sums = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range")))
+    sums = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range")), n)
     start = sums.withColumn("start", F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")).select(F.col("source").alias("_source"), F.col("range").alias("_range"), "start")
     joined = keyed.join(small(start), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source", "_range")
     inner = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,8 +99,9 @@ def plan(docs: DataFrame, weights: list[float], seed: str = "mix", most: int = 3
 
 def mix(docs: DataFrame, weights: list[float], **options) -> DataFrame:
     """The mixed corpus: each row of ``docs``, whole, as often as ``plan`` (same options) says, with the
-    columns of ``docs``. Repeated rows all follow the largest number of copies among them."""
+    columns of ``docs``, whatever their names. Repeated rows all follow the largest number of copies among them."""
     picked = plan(docs, weights, **options).groupBy("doc_id", "source", "tie").agg(F.max("copies").alias("_copies"))
     picked = picked.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie"))
-    return docs.join(picked, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    held = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
+    return held.join(picked, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -11,8 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python task works on at a time.
-SLICE_CHARS = 2_000_000
+#: Short rows that one file of a cut may hold.
+FILE_ROWS = 100_000
+#: Characters of text that a Python task works on at a time; bytes read between two releases of free memory.
+SLICE_CHARS, RELEASE = 2_000_000, 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,11 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder, on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no more
     than the stage it was in. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
-    the files once nothing refers to them."""
+    the files once nothing refers to them. ``rows``: it has no more rows than that, and is written in so few files."""
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 
@@ -37,16 +49,29 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def release() -> None:
+    """Give back to the system what Arrow and the C library hold free: a worker process outlives its tasks, beside a full JVM heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each hold about ``chars`` bytes (a longer text stands alone)."""
+    """Cut record batches so that the texts of each hold about ``chars`` bytes (a longer text stands alone). What they took is given back now and then."""
+    done = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        if done > RELEASE:
+            release()
+            done = 0
+        done += batch.nbytes
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // chars
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -128,18 +153,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     with many neighbours can be split. Rounds needed grow with the logarithm of the longest path.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, rows = None, e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = cut(small)
+        e = cut(small, 2 * rows)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     low = e.groupBy("u").agg(F.min("v").alias("component"))

@@ -6,7 +6,7 @@ from lexmill.llm import secrets
 from lexmill.llm.queries import tokenizer_path
 
 from .conftest import corpus, sentence
-from .test_minhash import brute
+from .test_minhash import WORD, brute
 from .test_secrets import base
 
 
@@ -20,6 +20,21 @@ def documents(rng):
     return rows
 
 
+def shares(size, weight):
+    """Targets by weight; what is above three times a source goes to the others, again and again."""
+    target, free = {}, dict(size)
+    while free:
+        left = sum(size.values()) - sum(target.values())
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        full = [x for x in free if share[x] > 3 * size[x] + 1e-9]
+        if not full:
+            return target | share
+        for x in full:
+            target[x] = 3 * size[x]
+            free.pop(x)
+    return target
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -60,8 +75,13 @@ def test_every_stage(spark, rng, tmp_path):
 
     rows, kept = seen[3]  # sources near their targets, whole documents
     assert {r.text for r in kept} <= {r.text for r in rows}
-    n = len([r for r in rows if r.source == "hot"])
-    assert len([r for r in kept if r.source == "hot"]) <= 3 * n
+    words = lambda t: len(WORD.findall(t or ""))
+    sources = sorted({r.source for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {x: sum(words(r.text) for r in rows if r.source == x) for x in sources}
+    target = shares(size, {x: float(i % 3 + 1) for i, x in enumerate(sources)})
+    for x in sources:
+        most = max(words(r.text) for r in rows if r.source == x)
+        assert abs(sum(words(r.text) for r in kept if r.source == x) - target[x]) <= most / 2 + 1 and target[x] <= 3 * size[x] + 1e-6
 
     rows, kept = seen[4]  # every token of every row is in a sequence
     tokenizer = Tokenizer.from_file(tokenizer_path())
