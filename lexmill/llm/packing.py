@@ -10,6 +10,7 @@ partition, so long as a partition can hold its pieces.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import unicodedata
@@ -26,8 +27,9 @@ from .shared import coded, cut, slices, words_of
 
 #: Pieces that one task packs, at most about.
 PART_PIECES = 100_000
-#: Distinct parts whose ids a worker keeps from one slice of texts, and one task, to the next; parts encoded together; characters of a slice.
-CACHE_WORDS, TOGETHER, CHARS = 400_000, 1_000, 4_000_000
+#: Bytes, about, of distinct parts and their ids that a worker keeps from one slice of texts, and one task, to the next; bytes of one part besides its
+#: letters; parts encoded together; characters of a slice.
+CACHE_BYTES, PART_BYTES, TOGETHER, CHARS = 32_000_000, 180, 1_000, 3_000_000
 ASCII_UPPER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,!?*&%$#|;:", np.uint8))
@@ -60,6 +62,7 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.held: dict[str, int] = {}
+        self.bytes = 0
         self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def parts_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -77,9 +80,10 @@ class WordTokenizer:
 
     def number(self, vocab: list[str]) -> np.ndarray:
         """Each part's place in ``first`` and ``size``, after encoding those that aren't held."""
-        if len(self.held) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
         new = [w for w in vocab if w not in self.held]
+        self.bytes += sum(map(len, new)) + PART_BYTES * len(new)
         column = pa.array(new, pa.large_string())
         lower = pc.and_(pc.ascii_is_alpha(column), pc.ascii_is_lower(column)).to_pylist()
         easy, joined, alone = [], [], []
@@ -142,7 +146,8 @@ def own_tokenizer(path: str, end_id: int) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids (then ``end_id``) into pieces of ``capacity``, the last one shorter:
     doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit), and with
-    ``with_ids`` the ids. Null and empty texts have one piece, the end id alone."""
+    ``with_ids`` the ids. Null and empty texts have one piece, the end id alone. Null ids stay null, repeated rows have pieces each, an
+    empty table has none; further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -243,9 +248,10 @@ def _pack(capacity: int, base: int):
     return run
 
 
-def pack(sized: DataFrame, capacity: int = 4096, part_pieces: int = PART_PIECES, rounds: int = 3) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = 4096, part_pieces: int = PART_PIECES) -> DataFrame:
     """Give each row of ``sized (doc_id, piece, start, length, ids_crc32)`` a sequence_id and its
-    offset there, gapless from 0; no sequence is longer than ``capacity``.
+    offset there, gapless from 0; no sequence is longer than ``capacity``. Exchanges go on until one saves no bin, or one
+    partition holds what is left.
 
     Rows are dealt evenly, whatever their keys: ties, repeated rows and null ids are packed like any
     others, each row once. An empty table gives no rows.
@@ -253,10 +259,10 @@ def pack(sized: DataFrame, capacity: int = 4096, part_pieces: int = PART_PIECES,
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rest, done = sized.select(*columns), None
     n, bins = rest.count(), None
-    for k in range(rounds):
+    for k in itertools.count():
         parts = max(1, -(-n // part_pieces))
-        packed = cut(rest.repartition(parts).mapInArrow(_pack(capacity, k << 56), PACKED))
-        last = parts == 1 or k == rounds - 1
+        packed = cut(rest.repartition(parts).mapInArrow(_pack(capacity, k << 52), PACKED))
+        last = parts == 1
         kept = packed if last else packed.where(~F.col("gap"))
         kept = kept.select(*columns, "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
