@@ -67,7 +67,7 @@ def _op4() -> str:
     return f"""WITH every AS ({" UNION ALL ".join(parts)}),
 base AS (SELECT * FROM every WHERE k < 3),
 free AS (SELECT * FROM every w WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND w.s < b.e AND b.s < w.e)),
-linked AS (SELECT * FROM free w WHERE EXISTS (SELECT 1 FROM every o WHERE o.doc_id = w.doc_id AND o.role <> w.role AND o.e >= w.s - {secrets.SCOPE} AND o.s <= w.e + {secrets.SCOPE})),
+linked AS (SELECT * FROM free w WHERE EXISTS (SELECT 1 FROM every o WHERE o.doc_id = w.doc_id AND (o.role = 'secret') <> (w.role = 'secret') AND o.e >= w.s - {secrets.SCOPE} AND o.s <= w.e + {secrets.SCOPE})),
 texts AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS t FROM base GROUP BY doc_id),
 whole AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS t FROM (FROM base UNION ALL FROM linked) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(texts.t, '')) AS base_sha256, coalesce(whole.t, '') AS spans

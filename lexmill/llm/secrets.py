@@ -3,8 +3,8 @@
 Three base patterns are strong enough to be reported alone. Weak parts are not: an access
 identifier (``client_id = ...``, ``user: ...``), a secret (a short assignment, or a token of
 mixed letters and digits) or an endpoint (a URL, ``host: ...``). A weak part is reported only
-when a part of another role reaches into its scope, ``SCOPE`` code points around it; base
-findings count as parts too. That is an interval join of the parts of a text with each other,
+when its complement reaches into its scope, ``SCOPE`` code points around it: for a secret an identifier or an endpoint,
+for these a secret. Base findings count as parts too. That is an interval join of the parts of a text with each other,
 done as an equality join on the scope-sized cells that a part and a scope cover.
 """
 
@@ -41,6 +41,8 @@ def weak_enough(kind: str):
 #: What each kind is part of: an identifier, a secret or an endpoint.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "phrase": "secret", "opaque": "secret", "endpoint": "endpoint"}
 KINDS = (*BASE, *WEAK)
+#: Matches whose places are summed up together: the cost of many matches in a text grows with their number times this.
+CHUNK = 64
 #: Code points before or behind a part that its complement must reach into.
 SCOPE = 200
 SPAN = "array<struct<begin:int,finish:int,kind:int>>"
@@ -50,13 +52,17 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Leftmost matches that do not overlap, as (begin, finish, kind) in code points: what stands
     between the matches, and the matches, give their places by their lengths."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
@@ -65,7 +71,15 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         found = F.concat(acc["out"], one if keep is None else F.when(keep(s["hit"]), one).otherwise(none()))
         return F.struct(finish.alias("at"), found.alias("out"))
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    def placed(some: Column, start: Column) -> Column:
+        return F.aggregate(some, F.struct(start.alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+
+    def chunked(every: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(every) / CHUNK).cast("int") - 1), lambda k: F.slice(every, k * CHUNK + 1, F.lit(CHUNK)))
+        begun = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(c, F.lit(0), lambda n, s: n + s["gap"] + s["len"]))))
+        return _let(chunks, lambda parts: F.flatten(F.zip_with(parts, F.slice(begun(parts), F.lit(1), F.size(parts)), placed)))
+
+    return _let(steps, lambda every: F.when(F.size(every) > CHUNK, chunked(every)).otherwise(placed(every, F.lit(0))))
 
 
 def base_spans(text: Column) -> Column:
@@ -116,7 +130,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     left = part(free).withColumn("cell", F.explode(F.sequence(F.floor((F.col("s.begin") - scope) / scope), F.floor((F.col("s.finish") + scope) / scope))))
     right = part(F.concat("base", "weak")).select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("s.begin").alias("_begin"), F.col("s.finish").alias("_finish"), F.col("role").alias("_role"), F.explode(F.sequence(F.floor(F.col("s.begin") / scope), F.floor(F.col("s.finish") / scope))).alias("_cell"))
     near = (F.col("_finish") >= F.col("s.begin") - scope) & (F.col("_begin") <= F.col("s.finish") + scope)
-    linked = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole")) & (F.col("cell") == F.col("_cell")) & near & (F.col("role") != F.col("_role")), "left_semi")
+    linked = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole")) & (F.col("cell") == F.col("_cell")) & near & ((F.col("role") == "secret") != (F.col("_role") == "secret")), "left_semi")
     linked = linked.groupBy("doc_id", "whole").agg(F.collect_set("s").alias("linked")).withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
     out = found.join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole")), "left")
     return out.select("doc_id", "tie", "base", _ordered(F.concat("base", F.coalesce("linked", none()))).alias("spans"))
@@ -124,7 +138,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``<kind>``; spans that overlap
-    become one, named after the first. Other columns stay, but n_chars follows the text where it is there."""
+    become one, named after the first. Other columns stay, whatever their names, but n_chars follows the text where it is there."""
     spans = scan(docs, scope).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans")).distinct()
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
@@ -134,7 +148,9 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.concat(acc["text"], more).alias("text"))
 
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left")
-    out = out.withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
-    columns = [F.col("_clean").alias("text") if c == "text" else F.coalesce(F.when(F.col("_spans").isNotNull(), F.length("_clean").cast("long")), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    held = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    out = held.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left")
+    out = out.select("_row", "_spans", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean).alias("_clean"))
+    own = {c: F.col("_row").getField(c) for c in docs.columns}
+    own |= {"text": F.col("_clean")} | ({"n_chars": F.coalesce(F.when(F.col("_spans").isNotNull(), F.length("_clean").cast("long")), own["n_chars"])} if "n_chars" in own else {})
+    return out.select(*[c.alias(name) for name, c in own.items()])
