@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
 
     The counts are of all rows; per language the ``max_words`` most frequent words and the
     ``max_grams`` most frequent n-grams of each length reach the model (those whose count ties
-    with the first that finds no room stay out).
+    with the first that finds no room stay out), each with its counts in all languages.
     """
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     words = labelled.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -199,7 +199,8 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
         least = rule if least is None else least | rule
     if least is None:
         return Model([], np.zeros(0), {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in range(N + 1)})
-    kept = counts.where(least).toArrow()
+    # Of what is kept for one language, every language's count.
+    kept = counts.join(F.broadcast(cut(counts.where(least).select("kind", "code").distinct())), ["kind", "code"], "left_semi").select("lang", "kind", "code", "n").toArrow()
     langs = sorted({lang for lang, _ in totals})
     tables = {}
     lang_at = np.array([langs.index(x) for x in kept.column("lang").to_pylist()], np.int64)
