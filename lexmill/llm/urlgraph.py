@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .shared import cut, small
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+#: Damping, and the distrust that blocks. Rounds go on until none adds more than TOLERANCE to a host's score, in the threshold's units.
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-4
 #: Rounds between two cuts of the lineage.
-STRIDE = 4
+STRIDE = 6
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 #: (verdict, host, path)
@@ -73,26 +74,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both.withColumn("n", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from ``edges (src, dst, n)`` and ``seeds (host, trust, distrust)``,
-    which holds every host: r = (1 - d) seed + d * (what flows in). Mass at hosts without out-edges is
-    lost. Hosts that only links name get scores too."""
+    which holds every host: r = (1 - d) seed + d * (what flows in), summed step by step until a step adds to no host
+    more than ``tolerance * (1 - d)``. Mass at hosts without out-edges is lost. Hosts that only links name get scores too."""
     flow = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
     out = flow.groupBy("kind", "a").agg(F.sum("n").alias("all"))
     flow = cut(flow.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share")))
     start = cut(seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("seed")))).alias("s")).select("s.kind", "host", "s.seed").where("seed > 0"))
-    base = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
-    r = base
-    if not flow.isEmpty():
-        for k in range(rounds):
-            moved = r.join(flow.withColumnRenamed("a", "host"), ["kind", "host"]).select("kind", F.col("b").alias("host"), (damping * F.col("r") * F.col("share")).alias("r"))
-            r = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-            if k % STRIDE == STRIDE - 1:
-                r = cut(r)
+    seed = (1 - damping) * F.col("seed")
+    r = start.select("kind", "host", seed.alias("r"), seed.alias("step"))  # step: what the last round added
+    spreads = not flow.isEmpty()
+    while spreads:
+        for _ in range(STRIDE):
+            step = (damping * F.col("step") * F.col("share")).alias("step")
+            moved = r.join(flow.withColumnRenamed("a", "host"), ["kind", "host"]).select("kind", F.col("b").alias("host"), step).withColumn("r", F.col("step"))
+            r = r.withColumn("step", F.lit(0.0)).unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("step").alias("step"))
+        r = cut(r)
+        if (r.agg(F.max("step")).first()[0] or 0.0) <= tolerance * (1 - damping):
+            break
     return r.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("r"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("r"))), F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """One row per row of ``pages (page_id, url, html, ...)``: page_id, host, path, rule, verdict,
     trust and distrust. verdict is the rule's where one fits; else ``block`` where the host's distrust is above
     its trust and at least ``threshold * (1 - damping)``, else ``allow``.
@@ -104,7 +108,7 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, rou
     parsed = parsed.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.coalesce(F.col("hit.verdict") == verdict, F.lit(False)).cast("double"))
     seeds = parsed.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = cut(propagate(host_edges(parsed.select("host", "html")), seeds, rounds, damping).withColumnRenamed("host", "_host"))
+    scores = cut(propagate(host_edges(parsed.select("host", "html")), seeds, tolerance, damping).withColumnRenamed("host", "_host"))
     out = parsed.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled")).join(small(scores), F.col("host") == F.col("_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     bad = (distrust > trust) & (distrust >= threshold * (1 - damping))

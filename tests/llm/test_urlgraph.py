@@ -48,9 +48,9 @@ def ranks(edges, seeds, rounds, damping):
 def test_propagation_against_python(spark):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 3.0), ("e", "d", 1.0)]
     seeds = [("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 0.5), ("d", 0.0, 0.0), ("e", 0.25, 0.0)]
-    df = urlgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), 9)
-    trust = ranks(edges, {h: t for h, t, _ in seeds}, 9, 0.85)
-    distrust = ranks([(d, s, n) for s, d, n in edges], {h: x for h, _, x in seeds}, 9, 0.85)
+    df = urlgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), 1e-12)
+    trust = ranks(edges, {h: t for h, t, _ in seeds}, 300, 0.85)
+    distrust = ranks([(d, s, n) for s, d, n in edges], {h: x for h, _, x in seeds}, 300, 0.85)
     for r in df.collect():
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0))
 
