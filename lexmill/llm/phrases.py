@@ -39,8 +39,8 @@ WINDOW, PHRASE, SPAN, HOT = 20, 6, 15, 2_000
 LONGEST = SPAN + WINDOW - 1
 #: Bytes of text in a block, about; words in an automaton; blocks to each bucket of hashes.
 BLOCK_BYTES, SHARD, BLOCKS_PER_BUCKET = 2_000_000, 500_000, 8
-#: Buckets that one step deals to; records that a task gathers before it deals them; buckets of small inputs.
-FAN, GATHER, LEAST_BUCKETS = 1024, 1_500_000, 24
+#: Buckets that one step deals to; records that a task gathers before it deals them; buckets of small inputs; blocks to a task at most, about.
+FAN, GATHER, LEAST_BUCKETS, PER_TASK = 1024, 1_500_000, 24, 64
 #: Stands for a null doc_id: behind all others.
 LAST = np.int64(2**63 - 1)
 OTHER = np.uint64(0x9E3779B97F4A7C15)
@@ -455,9 +455,12 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard: int =
         empty = pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
         return pa.concat_tables([empty, *(_keep(b, answers) for _, b, answers in _blocks_of(left, right))])
 
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PER_TASK)
+    by = lambda df: df.repartition(parts, "bucket")
     sent = _dealt_again(blocks.mapInArrow(_send_anchors(first), ROW), buckets, fan)
-    recurring = cut(_dealt_again(sent.groupBy("bucket").applyInArrow(_recurring(min(homes, fan)), ROW), homes, fan))
-    streamed = blocks.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_send_segments(first), ROW)
-    found = _dealt_again(streamed, buckets, fan).groupBy("bucket").applyInArrow(_locate(min(homes, fan), shard), ROW)
+    recurring = cut(_dealt_again(by(sent).groupBy("bucket").applyInArrow(_recurring(min(homes, fan)), ROW), homes, fan))
+    streamed = by(blocks).groupBy("bucket").cogroup(by(recurring).groupBy("bucket")).applyInArrow(_send_segments(first), ROW)
+    found = by(_dealt_again(streamed, buckets, fan)).groupBy("bucket").applyInArrow(_locate(min(homes, fan), shard), ROW)
     answers = _dealt_again(found, homes, fan).unionByName(recurring.where("kind = 4"))
+    blocks, answers = by(blocks), by(answers)
     return blocks.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
