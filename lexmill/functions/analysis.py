@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from ..errors import InvalidArgument
 
 WORD = r"[\p{L}\p{Nd}]+"
+#: Texts of these code points alone, Latin, Cyrillic, kana and Han that neither decompose nor join with a neighbour, are in NFKC.
+STABLE = r"\A[\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u048A-\u052F\u2010\u2012-\u2016\u2018-\u2023\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FFF]*+\z"
 _WORD = regex.compile(WORD)
 #: Of the array column that analysis makes.
 TOKENS = "array<struct<term:string,pos:int>>"
@@ -37,6 +39,8 @@ class Analyzer:
 
     #: Whether tokens have offsets.
     offsets = False
+    #: Whether terms are the runs of letters and digits of ``clean(text)``, so that patterns count and find them.
+    by_pattern = False
 
     def tokens(self, text: str | None) -> list[Token]:
         raise NotImplementedError
@@ -105,20 +109,27 @@ class SimpleAnalyzer(Analyzer):
     """
 
     offsets = True
+    by_pattern = True
 
     def __init__(self, normalized: bool = False):
         self.normalized = normalized
 
     def __eq__(self, other: object) -> bool:
-        return isinstance(other, SimpleAnalyzer)
+        return isinstance(other, SimpleAnalyzer) and self.normalized == other.normalized
 
     def __hash__(self) -> int:
-        return hash(SimpleAnalyzer)
+        return hash((SimpleAnalyzer, self.normalized))
+
+    def clean(self, text: Column) -> Column:
+        """NFKC, lower case. Only texts that may not be in NFKC leave the JVM."""
+        if not self.normalized:
+            sure = F.coalesce(text.rlike(STABLE), F.lit(True))
+            text = F.when(sure, text).otherwise(nfkc(F.when(~sure, text)))
+        return F.lower(text)
 
     def terms_column(self, text: Column) -> Column:
         """Array of terms; positions are their places."""
-        clean = text if self.normalized else nfkc(text)
-        return F.coalesce(F.regexp_extract_all(F.lower(clean), F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+        return words(self.clean(text))
 
     def column(self, text: Column) -> Column:
         return F.transform(self.terms_column(text), lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos")))
@@ -154,6 +165,30 @@ def _normalized(text: str) -> tuple[str, list[tuple[int, int]]]:
     return joined, origin
 
 
+def words(clean: Column) -> Column:
+    """The runs of letters and digits of a clean text."""
+    return F.coalesce(F.regexp_extract_all(clean, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def word_count(clean: Column) -> Column:
+    """Their number."""
+    return F.coalesce(F.regexp_count(clean, F.lit(WORD)), F.lit(0))
+
+
+def whole(term: str) -> str:
+    """A pattern for a term that stands alone. The term comes first, which is what a matcher finds fast."""
+    return rf"\Q{term}\E(?![\p{{L}}\p{{Nd}}])(?<![\p{{L}}\p{{Nd}}]\Q{term}\E)"
+
+
+def frequency(clean: Column, term: str) -> Column:
+    """How often a term is in a clean text."""
+    return F.when(clean.contains(term), F.regexp_count(clean, F.lit(whole(term)))).otherwise(0)
+
+
+def contains(clean: Column, term: str) -> Column:
+    return F.coalesce(clean.contains(term) & clean.rlike(whole(term)), F.lit(False))
+
+
 class FunctionAnalyzer(Analyzer):
     """An analyzer from a function of a text to tokens (or to terms)."""
 

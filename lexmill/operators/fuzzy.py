@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.osa import auto_edits, osa_distance
 
 
+def lengths(term: str) -> tuple[int, int]:
+    """Of the terms that may be within the term's edits."""
+    return len(term) - auto_edits(term), len(term) + auto_edits(term)
+
+
 def expansions(vocabulary: DataFrame, term: str) -> DataFrame:
     """(term, distance) of ``vocabulary (term)`` within the term's edits, nearest first, then by code points.
 

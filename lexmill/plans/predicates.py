@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
+from ..functions.analysis import contains
 from ..schema import Field, SearchSchema, TextField
 
 
@@ -144,9 +145,13 @@ class Terms(Query):
     def column(self) -> Column:
         if not self.terms:
             return F.lit(False)
+        if self.field.analyzer.by_pattern:  # found in the text: no tokens are made
+            found = [contains(self.field.analyzer.clean(self.field.column), t) for t in self.terms]
+            out = found[0]
+            for c in found[1:]:
+                out = out & c if self.every else out | c
+            return out
         own = F.transform(self.field.analyzer.column(self.field.column), lambda t: t["term"])
-        if hasattr(self.field.analyzer, "terms_column"):
-            own = self.field.analyzer.terms_column(self.field.column)
         if len(self.terms) == 1:
             return _sure(F.array_contains(own, self.terms[0]))
         wanted = F.array(*[F.lit(t) for t in self.terms])
@@ -211,6 +216,12 @@ class Custom(Query):
         return _sure(self.condition())
 
 
+def has_terms(query: Query) -> bool:
+    """Whether a condition looks into texts."""
+    children = query.children if isinstance(query, (And, Or)) else (query.child,) if isinstance(query, Not) else ()
+    return isinstance(query, Terms) or any(has_terms(c) for c in children)
+
+
 def eq(field: Field, value: object) -> Query:
     return Equal(field, value)
 

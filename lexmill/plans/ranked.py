@@ -212,6 +212,10 @@ def needed(node: Node) -> dict[TextField, list[str]]:
     return out
 
 
+def phrases(node: Node) -> list[PhraseNode]:
+    return [x for x in leaves(node) if isinstance(x, PhraseNode)]
+
+
 def is_empty(node: Node) -> bool:
     """Whether nothing can match, whatever the corpus."""
     if isinstance(node, TextNode):
@@ -232,9 +236,10 @@ class Statistics:
 
 @dataclass
 class Source:
-    """Where a row's positions and length are: Columns by field and term."""
+    """Where a row's positions (of terms of phrases), frequencies and length are: Columns by field and term."""
 
     positions: Callable[[TextField, str], Column]
+    frequency: Callable[[TextField, str], Column]
     length: Callable[[TextField], Column]
 
 
@@ -293,7 +298,7 @@ def compiled(node: Node, source: Source, statistics: dict[TextField, Statistics]
         length = source.length(node.field)
 
         def one(term: str, weight: float = 1.0) -> tuple[Column, Column]:
-            tf = F.size(source.positions(node.field, term))
+            tf = source.frequency(node.field, term)
             score = bm25.term_score(tf, length, bm25.idf(own.stats, own.df.get(term, 0)), own.stats, config)
             return tf > 0, score if weight == 1.0 else score * F.lit(weight)
 
