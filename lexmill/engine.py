@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import BulkMutationError, DocumentAlreadyExists, DocumentNotFound, EngineRejected, IndexLifecycleError, InvalidArgument, ReplicaReadError
+from .errors import BulkMutationError, DocumentAlreadyExists, DocumentNotFound, DurabilityError, EngineRejected, IndexLifecycleError, InvalidArgument, ReplicaReadError
 from .operators import indexes as index_ops
 from .operators.execute import Page, Searcher
 from .operators.indexes import IndexDefinition, IndexRegistry, PlanningMode
@@ -122,6 +122,8 @@ class SearchEngine:
         self.store = SnapshotStore.open_store(spark, path or _own_folder(spark), schema, storage_format)
         self.metrics_ = Metrics()
         self._builds: set[str] = set()
+        self._custom: dict[str, IndexDefinition] = {}
+        self._counted = (-1, -1)
         self._queue: Queue[_Task] = Queue(self.config.queue_capacity)
         self._write = threading.RLock()
         self._closed = False
@@ -144,6 +146,8 @@ class SearchEngine:
             path, touched, how = self.store.derived(name, d)
             self.metrics_.warm_reopens += how == "warm"
             registry.add(d, path, touched)
+        for d in self._custom.values():
+            registry.add(d)
         return registry
 
     def _pin(self, registry: IndexRegistry) -> Searcher:
@@ -366,6 +370,8 @@ class SearchEngine:
     # -- indexes
 
     def create_index(self, d: IndexDefinition) -> int:
+        """Build an index as of now beside the writer, which goes on; what it commits meanwhile is replayed when the index is published. A custom
+        index is published at once, and lasts as long as the engine."""
         self.schema.check(d.field)
         with self._write:
             if d.name in self._builds:
@@ -374,33 +380,55 @@ class SearchEngine:
                 raise IndexLifecycleError(d.name, IndexLifecycleError.Reason.ALREADY_EXISTS)
             if d.kind is IndexType.PREFIX and not isinstance(d.field.type, T.StringType):
                 raise InvalidArgument(f"{d.field.name!r} is no string")
+            IndexRegistry().add(d)
+            if not isinstance(d.kind, IndexType):
+                self._custom[d.name] = d
+                self._current = self._pin(self._registry())
+                return self.store.version
+            if tuple(self.store.manifest["format"]) < (1, 1):
+                raise DurabilityError(f"format {self.store.manifest['format']} has no indexes", DurabilityError.Reason.UNSUPPORTED_FORMAT)
             self._builds.add(d.name)
-            try:
-                if not isinstance(d.kind, IndexType):
-                    registry = self._current.registry
-                    registry.add(d)
-                    return self.store.version
-                IndexRegistry().add(d)
-                self.store.indexes[d.name] = self.store.version
-                seq = self._commit(None, "INDEX_CREATE", index=d.name, at=self.store.version)
+            version = self.store.version
+        try:
+            self.store.build_derived(d.name, d, version)
+            with self._write:
+                self.store.indexes[d.name] = version
+                try:
+                    seq = self._commit(None, "INDEX_CREATE", index=d.name, at=version)
+                except Exception:
+                    self.store.indexes.pop(d.name, None)
+                    raise
                 self.metrics_.index_builds += 1
                 return seq
-            except Exception:
-                self.store.indexes.pop(d.name, None)
-                self.metrics_.index_build_failures += 1
-                raise
-            finally:
-                self._builds.discard(d.name)
+        except Exception:
+            self.metrics_.index_build_failures += 1
+            raise
+        finally:
+            self._builds.discard(d.name)
+
+    def create_index_async(self, d: IndexDefinition) -> Future:
+        """The same in a thread of its own."""
+        out: Future = Future()
+
+        def run() -> None:
+            try:
+                out.set_result(self.create_index(d))
+            except Exception as e:  # noqa: BLE001  goes to whoever waits
+                out.set_exception(e)
+
+        threading.Thread(target=run, daemon=True).start()
+        return out
 
     def drop_index(self, field_name: str) -> int:
-        """Drop all indexes of a field; nothing to drop is no failure."""
+        """Drop all indexes of a field; nothing to drop is no failure. Snapshots that are read keep theirs."""
         self.schema.field(field_name)
         with self._write:
-            gone = [n for n in self.store.indexes if n.partition(":")[0] == field_name]
-            self._current.registry.drop(field_name)
-            for n in gone:
+            for n in [n for n, d in self._custom.items() if d.field.name == field_name]:
+                self._custom.pop(n)
+            for n in [n for n in self.store.indexes if n.partition(":")[0] == field_name]:
                 self.store.indexes.pop(n)
                 self._commit(None, "INDEX_DROP", index=n)
+            self._current = self._pin(self._registry())
             return self.store.version
 
     def index_statistics(self) -> list[index_ops.IndexStatistics]:
@@ -423,7 +451,10 @@ class SearchEngine:
             return out
 
     def metrics(self) -> Metrics:
-        return replace(self.metrics_, version=self._current.version, documents=self._current.df.count(), queue_depth=self._queue.qsize(), closed=self._closed)
+        current = self._current
+        if self._counted[0] != current.version:
+            self._counted = (current.version, current.df.count())
+        return replace(self.metrics_, version=current.version, documents=self._counted[1], queue_depth=self._queue.qsize(), closed=self._closed)
 
     def close(self) -> None:
         """No more mutations; those that wait are done first."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,11 +27,26 @@ from .files import Files, settled
 
 #: (1, 1) adds index commits, (1, 2) derived index tables.
 FORMATS = ((1, 0), (1, 1), (1, 2))
-#: Log rows whose ids may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Log rows whose ids may be broadcast; seconds that a lock is good for without being renewed.
+BROADCAST_ROWS, LEASE_SECONDS = 200_000, 30.0
 Reason = DurabilityError.Reason
 
 
+def _locked(files: Files, path: str, owner: str) -> bool:
+    """Take the lock of a store, also from an owner that stopped renewing it."""
+    mine = {"owner": owner, "until": time.time() + LEASE_SECONDS}
+    if files.create(f"{path}/LOCK", mine):
+        return True
+    try:
+        held = files.read(f"{path}/LOCK")
+    except Exception:  # noqa: BLE001  released, or written just now
+        return False
+    if held.get("until", 0) >= time.time() or not files.move(f"{path}/LOCK", f"{path}/LOCK.{held.get('owner')}"):
+        return False
+    files.delete(f"{path}/LOCK.{held.get('owner')}")
+    return files.create(f"{path}/LOCK", mine)
+
+
 def fingerprint(df: DataFrame) -> dict[str, int | str]:
     """Rows and an order-free sum of row hashes."""
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
@@ -71,6 +87,8 @@ class SnapshotStore:
     schema: SearchSchema
     manifest: dict
     owner: str = field(default_factory=lambda: uuid.uuid4().hex)
+    own_tables: set[tuple[str, int]] = field(default_factory=set)
+    _closed: threading.Event = field(default_factory=threading.Event)
 
     @property
     def files(self) -> Files:
@@ -85,8 +103,8 @@ class SnapshotStore:
             raise DurabilityError(f"format {storage_format}", Reason.UNSUPPORTED_FORMAT)
         files.make(f"{path}/log")
         owner = uuid.uuid4().hex
-        if not files.create(f"{path}/LOCK", {"owner": owner, "since": time.time()}):
-            raise DurabilityError(f"{path} is open elsewhere; delete its LOCK if that one is gone", Reason.STORAGE_IN_USE)
+        if not _locked(files, path, owner):
+            raise DurabilityError(f"{path} is open elsewhere", Reason.STORAGE_IN_USE)
         try:
             if files.exists(f"{path}/MANIFEST.json"):
                 manifest = read_manifest(files, path)
@@ -97,6 +115,7 @@ class SnapshotStore:
                 files.create(f"{path}/MANIFEST.json", manifest)
             store = cls(spark, path, schema, manifest, owner)
             store._recover()
+            threading.Thread(target=store._stay, daemon=True).start()
             return store
         except Exception:
             files.delete(f"{path}/LOCK")
@@ -105,6 +124,7 @@ class SnapshotStore:
     def _recover(self) -> None:
         """Read the log's commits behind the checkpoint: their numbers must follow one another."""
         self.version, self.next_ord, self.indexes = self.manifest["seq"], self.manifest["next_ord"], dict(self.manifest["indexes"])
+        self.sources: dict[str, int] = dict(self.manifest.get("sources", {}))  # the last batch of each stream
         self.log_rows: dict[int, int] = {}
         for name in self.commits():
             seq = int(name)
@@ -115,15 +135,29 @@ class SnapshotStore:
             meta = self.files.read(f"{self.path}/log/{name}/META.json")
             self.version, self.next_ord = seq, meta["next_ord"]
             self.log_rows[seq] = meta.get("rows", 0)
+            self._applied(meta)
             if meta["kind"] == "INDEX_CREATE":
                 self.indexes[meta["index"]] = meta["at"]
             elif meta["kind"] == "INDEX_DROP":
                 self.indexes.pop(meta["index"], None)
 
+    def _applied(self, meta: dict) -> None:
+        if "source" in meta:
+            self.sources[meta["source"]] = max(self.sources.get(meta["source"], -1), meta["batch"])
+
     def commits(self) -> list[str]:
         return [n for n in self.files.list(f"{self.path}/log") if n.isdigit()]
 
+    def _stay(self) -> None:
+        """Renew the lock's lease until it is closed: it ends with its owner."""
+        while not self._closed.wait(LEASE_SECONDS / 3):
+            try:
+                self.files.replace(f"{self.path}/LOCK", {"owner": self.owner, "until": time.time() + LEASE_SECONDS})
+            except Exception:  # noqa: BLE001  the session or the folder is gone; so the lease ends
+                return
+
     def close(self) -> None:
+        self._closed.set()
         self.files.delete(f"{self.path}/LOCK")
 
     # -- reading
@@ -148,7 +182,7 @@ class SnapshotStore:
         The checkpoint but for the ids that the log names, and what becomes of these. While the log's rows, by its
         commits' own counts, are few, their ids are broadcast and the checkpoint isn't shuffled."""
         upto = self.version if version is None else version
-        rows = sum(n for seq, n in self.log_rows.items() if self.manifest["seq"] < seq <= upto)
+        rows = sum(n for seq, n in list(self.log_rows.items()) if self.manifest["seq"] < seq <= upto)
         if rows == 0:
             return self.base()
         base, log, name = self.base(), self.log(upto), self.schema.id_field.name
@@ -179,6 +213,7 @@ class SnapshotStore:
             raise DurabilityError(f"commit {seq} is there already: another writer", Reason.STORAGE_IN_USE)
         self.version, self.next_ord = seq, self.next_ord + adds
         self.log_rows[seq] = int(meta.get("rows", 0))
+        self._applied(meta)
         return seq
 
     def checkpoint(self) -> int:
@@ -189,7 +224,7 @@ class SnapshotStore:
         self.files.delete(target)
         self.at().write.parquet(f"{target}/data")
         mark = fingerprint(self.spark.read.parquet(f"{target}/data"))
-        self.manifest = self.manifest | {"checkpoint": f"{self.version:012d}", "seq": self.version, "next_ord": self.next_ord, "indexes": self.indexes, "mark": mark}
+        self.manifest = self.manifest | {"checkpoint": f"{self.version:012d}", "seq": self.version, "next_ord": self.next_ord, "indexes": self.indexes, "sources": self.sources, "mark": mark}
         self.files.replace(f"{self.path}/MANIFEST.json", self.manifest)
         return self.version
 
@@ -211,18 +246,43 @@ class SnapshotStore:
 
     def derived(self, name: str, d: index_ops.IndexDefinition) -> tuple[str, DataFrame | None, str]:
         """The newest table of an index that the log behind it still completes (``warm``), with the ids changed since; or one of
-        the present version (``rebuilt``), where there is none that fits."""
-        folder = f"{self.path}/derived/{name.replace(':', '-')}"
-        for v in reversed(self.files.list(folder)):
-            at = int(v)
-            if self.manifest["seq"] <= at <= self.version and self.files.exists(f"{folder}/{v}/DONE.json") and self.files.read(f"{folder}/{v}/DONE.json") == {"history": self.manifest["history"], "version": at}:
-                touched = self.log().where(F.col("seq") > at).select(F.col(self.schema.id_field.name).alias("_key")).distinct() if at < self.version else None
-                return f"{folder}/{v}", touched, "warm"
-        path = f"{folder}/{self.version:012d}"
+        the present version, ``merged`` from an older one and the log's commits since, or ``rebuilt`` where these are gone."""
+        made = [int(v) for v in self._tables(name) if int(v) <= self.version]
+        if made and made[-1] >= self.manifest["seq"]:
+            return self._table(name, made[-1]), self._since(made[-1], self.version), "warm"
+        return self.build_derived(name, d, self.version), None, "merged" if made and self._since(made[-1], self.version) is not None else "rebuilt"
+
+    def build_derived(self, name: str, d: index_ops.IndexDefinition, version: int) -> str:
+        """Write an index's table as of a version. Others may commit meanwhile: what changes later completes it when it is read."""
+        path, key = self._table(name, version), self.schema.id_field.column
         self.files.delete(path)
-        index_ops.build(self.at(), d, path, self.schema.id_field.column)
-        self.files.create(f"{path}/DONE.json", {"history": self.manifest["history"], "version": self.version})
-        return path, None, "rebuilt"
+        made = [int(v) for v in self._tables(name) if int(v) < version]
+        changed = self._since(made[-1], version) if made else None
+        if changed is not None:
+            index_ops.merge(self._table(name, made[-1]), self.at(version), settled(changed), d, path, key)
+        else:
+            index_ops.build(self.at(version), d, path, key)
+        self.files.create(f"{path}/DONE.json", {"history": self.manifest["history"], "version": version})
+        self.own_tables.add((name, version))
+        return path
+
+    def _table(self, name: str, version: int) -> str:
+        return f"{self.path}/derived/{name.replace(':', '-')}/{version:012d}"
+
+    def _tables(self, name: str) -> list[str]:
+        """The versions of an index's tables that are whole and of this history."""
+        folder, history = f"{self.path}/derived/{name.replace(':', '-')}", self.manifest["history"]
+        if tuple(self.manifest["format"]) < (1, 2):  # tables of an earlier session don't count
+            return [v for v in self.files.list(folder) if self.files.exists(f"{folder}/{v}/DONE.json") and (name, int(v)) in self.own_tables]
+        return [v for v in self.files.list(folder) if self.files.exists(f"{folder}/{v}/DONE.json") and self.files.read(f"{folder}/{v}/DONE.json") == {"history": history, "version": int(v)}]
+
+    def _since(self, at: int, upto: int) -> DataFrame | None:
+        """The ids (``_key``) that commits behind ``at`` name; None where there are none, or a commit is gone."""
+        names = [n for n in self.commits() if at < int(n) <= upto]
+        folders = [f"{self.path}/log/{n}/rows" for n in names if self.files.exists(f"{self.path}/log/{n}/rows")]
+        if len(names) < upto - at or not folders:
+            return None
+        return self.spark.read.schema(self.log_schema).parquet(*folders).select(F.col(self.schema.id_field.name).alias("_key")).distinct()
 
 
 def _digest(value: dict) -> str:

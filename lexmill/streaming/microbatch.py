@@ -17,13 +17,11 @@ if TYPE_CHECKING:
 
 def apply_batch(engine: SearchEngine, batch: DataFrame, batch_id: int, source: str) -> int:
     """Rows of the fields and ``op`` (``upsert`` or ``remove``); of an id that is in the batch more than once the row with the largest
-    ``seq`` counts. A batch that the log has already, from this source and number, isn't applied again."""
+    ``seq`` counts. A batch that was applied already, by this source and number, isn't applied again: the store keeps each source's last."""
     store, name, own = engine.store, engine.schema.id_field.name, engine.schema.struct.names
     with engine._write:
-        for n in store.commits():
-            meta = store.files.read(f"{store.path}/log/{n}/META.json")
-            if meta.get("source") == source and meta.get("batch", -1) >= batch_id:
-                return store.version
+        if store.sources.get(source, -1) >= batch_id:
+            return store.version
         last = batch.groupBy(name).agg(F.max_by(F.struct("op", *[c for c in own if c != name]), "seq").alias("last"))
         rows = last.select(F.col("last.op").alias("op"), *[F.col(c) if c == name else F.col(f"last.`{c}`").alias(c) for c in own])
         here = store.at().select(F.col(name).alias("_here"))
