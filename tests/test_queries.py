@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lexmill import lifecycle_queries  # noqa: F401  adds its queries to the others
 from lexmill import queries as core
 
 SF = "/root/testdata/sf0.001"

@@ -113,10 +113,59 @@ def test_scan_postings_and_python_agree(spark, tmp_path):
         assert found(stored.top_k(request)) == expected
 
 
-def test_both_postings_are_equal(spark):
-    s, body = over(spark, ["a b a", "b", None, "", "c c c"])
-    a, b = (sorted(map(str, f(s.df, body).collect())) for f in (textindex.postings, textindex.exploded_postings))
-    assert a == b and len(a) == 4
+@pytest.mark.parametrize("analyzer", [SimpleAnalyzer(), FunctionAnalyzer(str.split)])
+def test_postings_against_python(spark, monkeypatch, analyzer):
+    rng = random.Random(4)
+    bodies = [None, "", "a b a", "c c c", *(" ".join(rng.choice(["a", "bb", "東京", "d"]) for _ in range(rng.randrange(60))) for _ in range(30))]
+    s, body = over(spark, bodies, analyzer=analyzer)
+    expected = []
+    for i, b in enumerate(bodies):
+        words = (b or "").split()
+        expected += [(t, i, words.count(t), [k for k, w in enumerate(words) if w == t], len(words)) for t in set(words)]
+    assert sorted(tuple(x) for x in textindex.postings(s.df, body).collect()) == sorted(expected)
+
+
+def test_terms_are_found_whole(spark):
+    s, body = over(spark, ["with", "within", "forthwith, WITH! with", "w ith", "\U0001d400with", "ｗith it", None, "with\U0001f600with"])
+    assert sorted(x.id for x in s.search(p.term(body, "with")).collect()) == [0, 2, 5, 7]
+    assert dict(found(s.top_k(SearchRequest(r.text(body, "with"))))).keys() == {0, 2, 5, 7}
+    assert sorted(x.id for x in s.search(p.any_terms(body, "it ith")).collect()) == [3, 5]
+    assert sorted(x.id for x in s.search(p.all_terms(body, "forthwith with")).collect()) == [2]
+
+
+def test_stable_texts_are_normalised():
+    import regex
+    import unicodedata
+
+    from lexmill.functions.analysis import STABLE
+
+    own = regex.compile(STABLE.replace(r"\z", r"\Z"))
+    some = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and own.match(c)]
+    assert len(some) > 20_000
+    for c in some:
+        assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and unicodedata.normalize("NFKC", "e" + c) == "e" + c
+
+
+def test_planning_modes_give_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 7, f"k{i % 40:02d}", "a b" if i % 3 else "b c") for i in range(400)] + [(900, None, None, None)], "id long, n int, name string, body string")
+    plain = Searcher.over(df, SearchSchema.from_frame(df, "id", ("body",)))
+    f, body = plain.schema.field, plain.schema.text_field("body")
+    registry = indexes.IndexRegistry()
+    for name, kind in (("n", IndexType.RANGE), ("name", IndexType.PREFIX), ("body", IndexType.TEXT)):
+        d = indexes.IndexDefinition(f(name), kind)
+        indexes.build(plain.df, d, str(tmp_path / name), f("id").column)
+        registry.add(d, str(tmp_path / name))
+    conditions = [p.eq(f("n"), 3), p.eq(f("n"), None), p.between(f("n"), 1, 5), p.between(f("n"), 5, 1), p.prefix(f("name"), "k1"), p.eq(f("name"), "k07"), p.term(body, "a"), p.any_terms(body, "a c"), p.all_terms(body, "b c"), p.and_(p.eq(f("n"), 3), p.prefix(f("name"), "k0"), p.term(body, "c")), p.or_(p.eq(f("n"), 3), p.term(body, "c")), p.not_(p.term(body, "a"))]
+    for q in conditions:
+        ids = [[x.id for x in Searcher(plain.df, plain.schema, registry, mode=m).search(q).collect()] for m in indexes.PlanningMode]
+        assert ids[0] == ids[1] == ids[2] == [x.id for x in plain.search(q).collect()]
+        e = plain.estimate(q) or Searcher(plain.df, plain.schema, registry).estimate(q)
+        if e is not None and not isinstance(q, p.And):
+            assert e.least <= len(ids[0]) <= e.most
+    way = lambda q, m: indexes.access_path(q, registry, spark, m)
+    assert way(p.eq(f("n"), 3), indexes.PlanningMode.COST_AWARE).estimate.exact and way(p.between(f("n"), 0, 5), indexes.PlanningMode.COST_AWARE) is None
+    assert way(p.between(f("n"), 0, 5), indexes.PlanningMode.FORCE_INDEX).estimate.cardinality == sum(i % 7 <= 5 for i in range(400)) and way(p.eq(f("n"), 3), indexes.PlanningMode.FORCE_SCAN) is None
+    assert way(p.and_(p.between(f("n"), 0, 5), p.eq(f("name"), "k07")), indexes.PlanningMode.COST_AWARE).name == "name:prefix"
 
 
 def test_filter_leaves_statistics_alone(spark):
