@@ -280,9 +280,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPL
     # Of copies of a vector no more ids than a result could name, and one that may be the query's own.
     rows = cut(coded.withColumn("place", F.dense_rank().over(Window.partitionBy("sha").orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place"))
     cells_of = _cells(rows, len(index.centroids))
-    first, parts = (F.array(*[F.lit(int(c)) for c in cells_of[:, i]]) for i in (0, 1))
-    at = F.col("list") + 1
-    rows = rows.withColumn("cell", (F.element_at(first, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts, at).cast("long"))).cast("int"))
+    cells = spark.createDataFrame([(a, *map(int, c)) for a, c in enumerate(cells_of)], "list int, first int, parts long")  # LISTS rows at most
+    rows = rows.join(F.broadcast(cells), "list").withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")).drop("first", "parts")
     asked = cut(coded.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("sha").alias("sha")))
     queries = cut(coded.where(F.col("vec_id") % every == 0).join(asked.select(F.col("query_id").alias("vec_id"), "sha"), ["vec_id", "sha"], "left_semi").groupBy("sha").agg(F.first("vector").alias("vector")))
 
