@@ -1,4 +1,9 @@
+import math
+import re
+from collections import Counter
+
 import pyarrow as pa
+import pytest
 
 from lexmill.llm import langid
 
@@ -48,3 +53,36 @@ def test_bounds_of_the_model(spark, rng):
     rows = [(i, text(rng, lang), lang) for i, lang in enumerate(list(STEMS) * 20)]
     model = langid.fit(frame(spark, rows), max_words=5, max_grams=8)
     assert len(model.tables[0][0]) <= 15 and all(len(model.tables[n][0]) <= 24 for n in range(1, 5))
+
+
+def plain(rows, texts):
+    """Word-first backoff from its definition: log frequencies of known words, else the mean over known 4-grams, else 3-grams, and so on."""
+    runs = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n) if n > 1 or f" {w} "[i] != " "]
+    langs = sorted({lang for _, _, lang in rows})
+    words = {lang: Counter(w for _, t, own in rows if own == lang for w in runs(t)) for lang in langs}
+    tables = [words, *({lang: Counter(g for w in words[lang] for g in grams(w, n)) for lang in langs} for n in range(1, 5))]
+    known = [set().union(*t.values()) for t in tables]
+    log = lambda n, x, lang: math.log((tables[n][lang][x] + 0.5) / (sum(tables[n][lang].values()) + 0.5 * (len(tables[n][lang]) + 1)))
+    out = []
+    for t in texts:
+        total = dict.fromkeys(langs, 0.0)
+        for w in runs(t):
+            if w in known[0]:
+                parts, n = [w], 0
+            else:
+                parts, n = next((([g for g in grams(w, n) if g in known[n]], n) for n in range(4, 0, -1) if any(g in known[n] for g in grams(w, n))), ([], 0))
+            for lang in langs:
+                total[lang] += sum(log(n, g, lang) for g in parts) / max(1, len(parts))
+        best = max(langs, key=lambda x: total[x]) if runs(t) else "und"
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values()) if runs(t) else 0.0))
+    return out
+
+
+def test_against_the_definition(spark, rng):
+    rows = [(i, text(rng, lang), lang) for i, lang in enumerate(["en", "de", "ja"] * 12)]
+    texts = [text(rng, lang, 3) for lang in ["en", "de", "ja"] * 8] + ["zzz", "The unDUNG", "x tion", None, "123", "東は日 the", " ".join(text(rng, x, 1) for x in ("en", "de", "ja"))]
+    got = {r.doc_id: r for r in langid.predict(frame(spark, list(enumerate(texts))), langid.fit(frame(spark, rows))).collect()}
+    for i, (lang, score) in enumerate(plain(rows, texts)):
+        assert got[i].score == pytest.approx(score, abs=1e-4)
+        assert got[i].lang_pred == lang or score < 0.5001
