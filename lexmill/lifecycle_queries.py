@@ -347,3 +347,53 @@ def replicated_commits(spark, sf_dir):
     second.close()
     with SearchEngine(spark, schema, f"{path}/new") as e:
         return e.search(p.match_all()).select("n_nationkey", "n_name")
+
+
+@query("SELECT * FROM (VALUES ('U+10000 to U+E000', 2), ('U+E000 to U+10000', 0), ('a to U+FFFD', 4), ('a to U+D7FF', 1)) t(\"range\", n)")
+def utf16_ranges(spark, sf_dir):
+    """Ranges of strings go by UTF-16 units: characters beyond U+FFFF come before U+E000."""
+    private, last, beyond = chr(0xE000), chr(0xFFFD), chr(0x10000)
+    df = spark.createDataFrame(list(enumerate(["b", beyond, private, last])), "id long, s string")
+    s = Searcher.over(df, SearchSchema.from_frame(df, "id"))
+    f = s.schema.field("s")
+    ranges = {"U+10000 to U+E000": (beyond, private), "U+E000 to U+10000": (private, beyond), "a to U+FFFD": ("a", last), "a to U+D7FF": ("a", chr(0xD7FF))}
+    return spark.createDataFrame([(k, s.matching(p.between(f, *v)).count()) for k, v in ranges.items()], "range string, n long")
+
+
+@query("SELECT * FROM (VALUES ('whole', 'none'), ('a commit changed', 'DurabilityError CORRUPT_LOG'), ('a commit missing', 'DurabilityError CORRUPT_LOG'), ('a checkpoint missing', 'DurabilityError MISSING_FILE'), ('another schema', 'DurabilityError SCHEMA_MISMATCH'), ('open elsewhere', 'DurabilityError STORAGE_IN_USE')) t(\"case\", outcome)")
+def damage_is_found(spark, sf_dir):
+    """What verification and opening say of stores that were damaged, each in a copy."""
+    schema, path, df = _store(spark, sf_dir, "region", "r_regionkey", ["r_regionkey", "r_name"])
+    with SearchEngine(spark, schema, path) as e:
+        e.apply_frame("add", df)
+        e.checkpoint()
+        e.apply_frame("remove", df.where("r_regionkey = 1"))
+        e.apply_frame("remove", df.where("r_regionkey = 2"))
+    files = storage.Files(spark)
+    checkpoint, commits = files.read(f"{path}/MANIFEST.json")["checkpoint"], [n for n in files.list(f"{path}/log") if n.isdigit()]
+
+    def copy(name: str) -> str:
+        files.make(f"{path}-copies")
+        files.copy(path, f"{path}-copies/{name}")
+        return f"{path}-copies/{name}"
+
+    def changed(name: str) -> str:
+        to = copy(name)
+        files.delete(f"{to}/log/{commits[-1]}/rows")
+        files.copy(f"{path}/log/{commits[-2]}/rows", f"{to}/log/{commits[-1]}/rows")
+        return to
+
+    def without(name: str, part: str) -> str:
+        to = copy(name)
+        files.delete(f"{to}/{part}")
+        return to
+
+    whole = copy("whole")
+    other = SearchSchema.from_struct(T.StructType().add("r_regionkey", "long"), "r_regionkey")
+    rows = [("whole", _failure(lambda: storage.verify_store(spark, whole)))]
+    for case, to in (("a commit changed", changed("changed")), ("a commit missing", without("gap", f"log/{commits[-2]}")), ("a checkpoint missing", without("base", f"checkpoint/{checkpoint}"))):
+        rows.append((case, _failure(lambda to=to: storage.verify_store(spark, to))))
+    rows.append(("another schema", _failure(lambda: SearchEngine(spark, other, whole))))
+    with SearchEngine(spark, schema, whole):
+        rows.append(("open elsewhere", _failure(lambda: SearchEngine(spark, schema, whole))))
+    return _cases(spark, rows)
