@@ -88,6 +88,8 @@ class Searcher:
         for d in self.registry.by_name.values():
             if d.candidates is not None and (found := d.candidates(query)) is not None:
                 source = source.where(F.coalesce(found[0], F.lit(False)))
+        if has_terms(query):  # checked behind the dealing, where a filter would be pushed before it
+            return once(textindex.spread(source), [query.column().alias("_matched")]).where("_matched").select(*self.df.columns)
         return source.where(query.column())
 
     def estimate(self, query: Query) -> CandidateEstimate | None:
