@@ -29,7 +29,7 @@ from .shared import coded, cut, slices, words_of
 PART_PIECES = 100_000
 #: Bytes, about, of distinct parts and their ids that a worker keeps from one slice of texts, and one task, to the next; bytes of one part besides its
 #: letters; parts encoded together; characters of a slice.
-CACHE_BYTES, PART_BYTES, TOGETHER, CHARS = 32_000_000, 180, 1_000, 3_000_000
+CACHE_BYTES, PART_BYTES, TOGETHER, CHARS = 80_000_000, 180, 1_000, 4_000_000
 ASCII_UPPER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,!?*&%$#|;:", np.uint8))
