@@ -38,7 +38,7 @@ WINDOW, PHRASE, SPAN, HOT = 20, 6, 15, 2_000
 #: Words of the longest segment.
 LONGEST = SPAN + WINDOW - 1
 #: Bytes of text in a block, about; words in an automaton; blocks to each bucket of hashes.
-BLOCK_BYTES, SHARD, BLOCKS_PER_BUCKET = 2_000_000, 500_000, 8
+BLOCK_BYTES, SHARD, BLOCKS_PER_BUCKET = 2_000_000, 500_000, 3
 #: Buckets that one step deals to; records that a task gathers before it deals them; buckets of small inputs; blocks to a task at most, about.
 FAN, GATHER, LEAST_BUCKETS, PER_TASK = 1024, 1_500_000, 24, 64
 #: Stands for a null doc_id: behind all others.
