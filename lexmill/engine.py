@@ -30,6 +30,7 @@ from .plans.evaluate import Explanation
 from .plans.predicates import Query
 from .plans.requests import HighlightedSearchRequest, SearchPageRequest, SearchRequest
 from .schema import IndexType, SearchSchema
+from .sources.codecs import Codec
 from .sources.storage import SnapshotStore
 from .streaming.reads import ReadOptions, ReadToken, resolve
 
@@ -116,10 +117,10 @@ class SearchEngine:
     DataFrame as one atomic commit, without passing rows through the driver.
     """
 
-    def __init__(self, spark: SparkSession, schema: SearchSchema, path: str | None = None, config: EngineConfig | None = None, storage_format: tuple[int, int] = (1, 2)):
+    def __init__(self, spark: SparkSession, schema: SearchSchema, path: str | None = None, config: EngineConfig | None = None, storage_format: tuple[int, int] = (1, 2), codec: Codec | None = None):
         self.spark, self.schema, self.config = spark, schema, config or EngineConfig()
         self.id = uuid.uuid4().hex
-        self.store = SnapshotStore.open_store(spark, path or _own_folder(spark), schema, storage_format)
+        self.store = SnapshotStore.open_store(spark, path or _own_folder(spark), schema, storage_format, codec)
         self.metrics_ = Metrics()
         self._builds: set[str] = set()
         self._custom: dict[str, IndexDefinition] = {}
@@ -127,6 +128,7 @@ class SearchEngine:
         self._queue: Queue[_Task] = Queue(self.config.queue_capacity)
         self._write = threading.RLock()
         self._closed = False
+        self._current: Searcher = None  # type: ignore[assignment]
         self._current = self._pin(self._registry())
         wanted = [IndexDefinition(schema.field(n), k) for n, kinds in schema.indexes.items() for k in kinds]
         for d in wanted:
@@ -148,6 +150,8 @@ class SearchEngine:
             registry.add(d, path, touched)
         for d in self._custom.values():
             registry.add(d)
+        known = self._current.registry.summaries if self._current else {}
+        registry.summaries = {path: known[path] for path in registry.paths.values() if path in known}
         return registry
 
     def _pin(self, registry: IndexRegistry) -> Searcher:

@@ -17,6 +17,7 @@ from .plans.requests import SearchPageRequest, SearchRequest
 from .queries import _TOKENS, _folder, _indexed, documents, query, table
 from .schema import IndexType, SearchSchema
 from .sources import storage
+from .sources.codecs import json_codec
 from .streaming import replicas
 from .streaming.microbatch import apply_batch
 from .streaming.reads import ReadOptions, ReadPolicy
@@ -269,6 +270,22 @@ def request_checks(spark, sf_dir):
 # -- durability, reads and copies
 
 
+@query("SELECT s_suppkey, s_name, round(s_acctbal, 4) AS s_acctbal FROM supplier WHERE s_suppkey % 4 <> 1")
+def codec_round_trip(spark, sf_dir):
+    """A collection that a codec of its own writes, as JSON, through its log, a checkpoint, a backup and a restored store."""
+    schema, path, df = _store(spark, sf_dir, "supplier", "s_suppkey", ["s_suppkey", "s_name", "s_acctbal"])
+    codec = json_codec()
+    with SearchEngine(spark, schema, path, codec=codec) as e:
+        e.apply_frame("add", df)
+        e.backup(f"{path}-backup")
+    assert _failure(lambda: SearchEngine(spark, schema, path)) == "DurabilityError SCHEMA_MISMATCH"
+    assert storage.read_backup(spark, f"{path}-backup", codec).columns == [textindex.ORD, "s_suppkey", "s_name", "s_acctbal"]
+    storage.restore_backup(spark, f"{path}-backup", f"{path}-restored")
+    with SearchEngine(spark, schema, f"{path}-restored", codec=codec) as e:
+        e.apply_frame("remove", df.where("s_suppkey % 4 = 1"))
+        return e.search(p.match_all()).select("s_suppkey", "s_name", F.round("s_acctbal", 4).alias("s_acctbal"))
+
+
 @query(
     """SELECT 'documents' AS measure, (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS value UNION ALL SELECT 'commits', 3 UNION ALL SELECT 'checkpoints', 1
     UNION ALL SELECT 'index_builds', 1 UNION ALL SELECT 'searches', 2 UNION ALL SELECT 'rejected', 0 UNION ALL SELECT 'queue_depth', 0"""

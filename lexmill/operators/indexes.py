@@ -93,13 +93,14 @@ class IndexRegistry:
         self.paths: dict[str, str] = {}
         #: Ids (a column ``_key``) that changed since an index's table was built; none: it is up to date.
         self.touched: dict[str, DataFrame] = {}
-        self._summaries: dict[str, list[tuple]] = {}
+        self.summaries: dict[str, list[tuple]] = {}
 
     def summary(self, spark: SparkSession, name: str) -> list[tuple]:
         """(low, high, rows, keys) of each block of a structured index's table; those of rows without a value have no bounds."""
-        if name not in self._summaries:
-            self._summaries[name] = [tuple(r) for r in spark.read.parquet(f"{self.paths[name]}/summary").collect()]  # BLOCKS rows and one
-        return self._summaries[name]
+        path = self.paths[name]
+        if path not in self.summaries:
+            self.summaries[path] = [tuple(r) for r in spark.read.parquet(f"{path}/summary").collect()]  # BLOCKS rows and one
+        return self.summaries[path]
 
     def add(self, d: IndexDefinition, path: str | None = None, touched: DataFrame | None = None) -> None:
         if d.name in self.by_name:

@@ -23,6 +23,7 @@ from ..errors import DurabilityError
 from ..operators import indexes as index_ops
 from ..operators.textindex import ORD
 from ..schema import SearchSchema
+from .codecs import Codec, Columns
 from .files import Files, settled
 
 #: (1, 1) adds index commits, (1, 2) derived index tables.
@@ -87,6 +88,7 @@ class SnapshotStore:
     schema: SearchSchema
     manifest: dict
     owner: str = field(default_factory=lambda: uuid.uuid4().hex)
+    codec: Codec = field(default_factory=Columns)
     own_tables: set[tuple[str, int]] = field(default_factory=set)
     _closed: threading.Event = field(default_factory=threading.Event)
 
@@ -97,8 +99,8 @@ class SnapshotStore:
     # -- opening
 
     @classmethod
-    def open_store(cls, spark: SparkSession, path: str, schema: SearchSchema, storage_format: tuple[int, int] = (1, 2)) -> SnapshotStore:
-        files = Files(spark)
+    def open_store(cls, spark: SparkSession, path: str, schema: SearchSchema, storage_format: tuple[int, int] = (1, 2), codec: Codec | None = None) -> SnapshotStore:
+        files, codec = Files(spark), codec or Columns()
         if tuple(storage_format) not in FORMATS:
             raise DurabilityError(f"format {storage_format}", Reason.UNSUPPORTED_FORMAT)
         files.make(f"{path}/log")
@@ -110,10 +112,11 @@ class SnapshotStore:
                 manifest = read_manifest(files, path)
                 if manifest["schema"] != json.loads(schema.struct.json()) or manifest["id"] != schema.id_field.name:
                     raise DurabilityError("the store has another schema", Reason.SCHEMA_MISMATCH)
+                _check_codec(manifest, codec)
             else:
-                manifest = {"format": list(storage_format), "history": uuid.uuid4().hex, "schema": json.loads(schema.struct.json()), "id": schema.id_field.name, "checkpoint": None, "seq": 0, "next_ord": 0, "indexes": {}}
+                manifest = {"format": list(storage_format), "history": uuid.uuid4().hex, "schema": json.loads(schema.struct.json()), "id": schema.id_field.name, "checkpoint": None, "seq": 0, "next_ord": 0, "indexes": {}, "codec": codec.name}
                 files.create(f"{path}/MANIFEST.json", manifest)
-            store = cls(spark, path, schema, manifest, owner)
+            store = cls(spark, path, schema, manifest, owner, codec)
             store._recover()
             threading.Thread(target=store._stay, daemon=True).start()
             return store
@@ -169,12 +172,22 @@ class SnapshotStore:
     def base(self) -> DataFrame:
         if self.manifest["checkpoint"] is None:
             return self.spark.createDataFrame([], T.StructType([T.StructField(ORD, T.LongType()), *[T.StructField(f.name, f.dataType) for f in self.schema.struct.fields]]))
-        return self.spark.read.parquet(f"{self.path}/checkpoint/{self.manifest['checkpoint']}/data")
+        return self._read(self.spark.read.parquet(f"{self.path}/checkpoint/{self.manifest['checkpoint']}/data"))
+
+    def _read(self, df: DataFrame) -> DataFrame:
+        return self.codec.read(df, self.schema.struct, self.schema.id_field.name)
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        return self.codec.written(df, self.schema.struct, self.schema.id_field.name)
+
+    @property
+    def stored_log(self) -> T.StructType:
+        return self.codec.stored(self.log_schema, self.schema.struct, self.schema.id_field.name)
 
     def log(self, upto: int | None = None) -> DataFrame:
         names = [n for n in self.commits() if self.manifest["seq"] < int(n) <= (upto if upto is not None else self.version)]
         folders = [f"{self.path}/log/{n}/rows" for n in names if self.files.exists(f"{self.path}/log/{n}/rows")]
-        return self.spark.read.schema(self.log_schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.log_schema)
+        return self._read(self.spark.read.schema(self.stored_log).parquet(*folders)) if folders else self.spark.createDataFrame([], self.log_schema)
 
     def at(self, version: int | None = None) -> DataFrame:
         """The collection at a version from the checkpoint's on, the latest by default.
@@ -205,8 +218,8 @@ class SnapshotStore:
         """Append one commit; visible at once, when its folder has its name. Returns its sequence number."""
         seq, tmp = self.version + 1, f"{self.path}/log/_new-{uuid.uuid4().hex}"
         if rows is not None:
-            rows.withColumn("seq", F.lit(seq).cast("long")).select(*self.log_schema.names).write.parquet(f"{tmp}/rows")
-            meta |= fingerprint(self.spark.read.schema(self.log_schema).parquet(f"{tmp}/rows"))
+            self._written(rows.withColumn("seq", F.lit(seq).cast("long")).select(*self.log_schema.names)).write.parquet(f"{tmp}/rows")
+            meta |= fingerprint(self.spark.read.schema(self.stored_log).parquet(f"{tmp}/rows"))
         self.files.make(tmp)
         self.files.create(f"{tmp}/META.json", {"seq": seq, "kind": kind, "next_ord": self.next_ord + adds, **meta})
         if not self.files.move(tmp, f"{self.path}/log/{seq:012d}"):
@@ -222,7 +235,7 @@ class SnapshotStore:
         if self.manifest["checkpoint"] == f"{self.version:012d}":
             return self.version
         self.files.delete(target)
-        self.at().write.parquet(f"{target}/data")
+        self._written(self.at()).write.parquet(f"{target}/data")
         mark = fingerprint(self.spark.read.parquet(f"{target}/data"))
         self.manifest = self.manifest | {"checkpoint": f"{self.version:012d}", "seq": self.version, "next_ord": self.next_ord, "indexes": self.indexes, "sources": self.sources, "mark": mark}
         self.files.replace(f"{self.path}/MANIFEST.json", self.manifest)
@@ -237,7 +250,7 @@ class SnapshotStore:
         self.checkpoint()
         self.files.make(target)
         self.files.copy(f"{self.path}/checkpoint/{self.manifest['checkpoint']}", f"{target}/checkpoint")
-        bundle = {k: self.manifest[k] for k in ("format", "history", "schema", "id", "seq", "next_ord", "mark")} | {"kind": "backup"}
+        bundle = {k: self.manifest[k] for k in ("format", "history", "schema", "id", "seq", "next_ord", "mark")} | {"kind": "backup", "codec": self.codec.name}
         bundle["digest"] = _digest(bundle)
         self.files.create(f"{target}/BACKUP.json", bundle)
         return bundle
@@ -282,7 +295,7 @@ class SnapshotStore:
         folders = [f"{self.path}/log/{n}/rows" for n in names if self.files.exists(f"{self.path}/log/{n}/rows")]
         if len(names) < upto - at or not folders:
             return None
-        return self.spark.read.schema(self.log_schema).parquet(*folders).select(F.col(self.schema.id_field.name).alias("_key")).distinct()
+        return self.spark.read.schema(self.stored_log).parquet(*folders).select(F.col(self.schema.id_field.name).alias("_key")).distinct()
 
 
 def _digest(value: dict) -> str:
@@ -370,16 +383,22 @@ def restore_backup(spark: SparkSession, backup: str, target: str) -> dict:
     files.make(f"{tmp}/log")
     files.make(f"{tmp}/checkpoint")
     files.copy(f"{backup}/checkpoint", f"{tmp}/checkpoint/{name}")
-    manifest = {k: m[k] for k in ("format", "schema", "id", "seq", "next_ord", "mark")} | {"history": uuid.uuid4().hex, "checkpoint": name, "indexes": {}}
+    manifest = {k: m[k] for k in ("format", "schema", "id", "seq", "next_ord", "mark")} | {"history": uuid.uuid4().hex, "checkpoint": name, "indexes": {}, "codec": m.get("codec", "columns")}
     files.create(f"{tmp}/MANIFEST.json", manifest)
     files.move(tmp, target)
     return manifest
 
 
-def read_backup(spark: SparkSession, path: str) -> DataFrame:
+def read_backup(spark: SparkSession, path: str, codec: Codec | None = None) -> DataFrame:
     """The collection in a backup, for other uses."""
-    verify_backup(spark, path)
-    return spark.read.parquet(f"{path}/checkpoint/data")
+    m, codec = verify_backup(spark, path), codec or Columns()
+    _check_codec(m, codec)
+    return codec.read(spark.read.parquet(f"{path}/checkpoint/data"), T.StructType.fromJson(m["schema"]), m["id"])
+
+
+def _check_codec(manifest: dict, codec: Codec) -> None:
+    if manifest.get("codec", "columns") != codec.name:
+        raise DurabilityError(f"written by the codec {manifest.get('codec', 'columns')!r}, not {codec.name!r}", Reason.SCHEMA_MISMATCH)
 
 
 def write_backup(df: DataFrame, path: str, schema: SearchSchema) -> dict:
@@ -427,7 +446,7 @@ def plan_migration(spark: SparkSession, backup: str, target: str, transform: Cal
 
 def _migrated(spark: SparkSession, backup: str, transform: Callable[[DataFrame], DataFrame], schema: SearchSchema) -> DataFrame:
     """The transform sees doc_ord and must keep it."""
-    return transform(spark.read.parquet(f"{backup}/checkpoint/data")).select(ORD, *schema.struct.names)
+    return transform(read_backup(spark, backup)).select(ORD, *schema.struct.names)
 
 
 def apply_migration(spark: SparkSession, plan: MigrationPlan, transform: Callable[[DataFrame], DataFrame], schema: SearchSchema) -> dict:
