@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, urlgraph
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +47,35 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FRO
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)"""
 
 
+def _op10(steps: int = 60) -> str:
+    """Rules by length; else the sums of trust and distrust after so many steps, each a table of its own."""
+    from .queries import RULES
+
+    rules = sorted((urlgraph.parse_rule(r) for r in RULES), key=lambda r: -len(r[1] + r[2]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for _, h, p in rules]
+    rule = " ".join(f"{f} '{h + p}'" for f, (_, h, p) in zip(fits, rules, strict=True))
+    verdict = " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True))
+    link = urlgraph.LINK.replace("'", "''")
+    walk = ", ".join(f"s{k + 1} AS MATERIALIZED (SELECT kind, b AS host, {urlgraph.DAMPING} * sum(step * share) AS step FROM s{k} JOIN flow USING (kind, host) GROUP BY ALL)" for k in range(steps))
+    every = " UNION ALL ".join(f"FROM s{k}" for k in range(steps + 1))
+    return rf"""WITH parsed AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM parsed),
+seeds AS MATERIALIZED (SELECT host, avg(coalesce(ruled = 'allow', false)::INT) AS trust, avg(coalesce(ruled = 'block', false)::INT) AS distrust FROM ruled WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM parsed WHERE host <> ''),
+parts AS (SELECT host, string_split(host, '.') AS p FROM seeds),
+above AS (SELECT host AS src, unnest(range(2, len(p) + 1)) AS level, p FROM parts),
+parent AS (SELECT src, arg_min(up.host, level) AS dst FROM above JOIN seeds up ON up.host = array_to_string(p[level:], '.') GROUP BY src),
+edges AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*)::DOUBLE AS n FROM links WHERE src <> dst GROUP BY ALL
+    UNION ALL SELECT src, dst, 1.0 FROM parent UNION ALL SELECT dst, src, 1.0 FROM parent) GROUP BY ALL),
+flow AS MATERIALIZED (SELECT 0 AS kind, src AS host, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+s0 AS MATERIALIZED (SELECT * FROM (SELECT 0 AS kind, host, {1 - urlgraph.DAMPING:.2f} * trust AS step FROM seeds UNION ALL SELECT 1, host, {1 - urlgraph.DAMPING:.2f} * distrust FROM seeds) WHERE step > 0),
+{walk},
+scores AS (SELECT host, coalesce(sum(step) FILTER (kind = 0), 0) AS trust, coalesce(sum(step) FILTER (kind = 1), 0) AS distrust FROM ({every}) GROUP BY host)
+SELECT page_id, ruled.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {urlgraph.THRESHOLD} * {1 - urlgraph.DAMPING:.2f} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores ON scores.host = ruled.host"""
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -80,4 +109,5 @@ SQL: dict[str, str] = {
     "op6_minhash_near_dedup": OP6,
     "op7_source_mixing": OP7,
     "op8_phrase_dedup": OP8,
+    "op10_url_filter": _op10(),
 }

@@ -88,7 +88,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlgraph
 
-    return urlgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), [urlgraph.parse_rule(r) for r in RULES])
+    return urlgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), [urlgraph.parse_rule(r) for r in RULES]).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
