@@ -28,10 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words a shingle, similarity 0.8 or more): the one with the
     smallest id, once."""
-    found = cut(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    n = docs.count()
+    found = cut(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), n)
     kept = docs.join(small(found), "doc_id", "left_anti")
     # Only rows whose id is there twice are compared by their texts.
-    twice = cut(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    twice = cut(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), n)
     again = kept.join(small(twice), "doc_id", "left_semi").unionByName(kept.where("doc_id IS NULL"))
     alone = kept.where("doc_id IS NOT NULL").join(small(twice), "doc_id", "left_anti")
     return alone.unionByName(again.dropDuplicates(["doc_id", "text"])).select(*COLUMNS)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import coded, cut, mix64, slices, words_of
+from .shared import coded, cut, mix64, slices, small, words_of
 
 #: Entries kept per language: words, and n-grams of each length.
 MAX_WORDS, MAX_GRAMS = 30_000, 20_000
@@ -200,7 +200,7 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
     if least is None:
         return Model([], np.zeros(0), {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in range(N + 1)})
     # Of what is kept for one language, every language's count.
-    kept = counts.join(F.broadcast(cut(counts.where(least).select("kind", "code").distinct())), ["kind", "code"], "left_semi").select("lang", "kind", "code", "n").toArrow()
+    kept = counts.join(small(cut(counts.where(least).select("kind", "code").distinct(), len(totals) * max(max_words, max_grams))), ["kind", "code"], "left_semi").select("lang", "kind", "code", "n").toArrow()
     langs = sorted({lang for lang, _ in totals})
     tables = {}
     lang_at = np.array([langs.index(x) for x in kept.column("lang").to_pylist()], np.int64)

@@ -245,14 +245,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     top = heads.select(F.col("leader").alias("u"), F.col("head").alias("v"))
     pairs = few.unionByName(large).unionByName(top).where("u <> v").distinct()
     sig = reps.select(F.col("rep").alias("u"), F.col("signature").alias("sig_u"))
-    survivors = cut(pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_compare(bounds), "u long, v long"))
+    survivors = cut(pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_compare(bounds), "u long, v long"), m)
     p = survivors.count()
     # The full sets, of representatives in a pair or in a bucket of more than two.
     ids = survivors.select("u").unionByName(survivors.select(F.col("v").alias("u"))).unionByName(members.where("n > 2").select(F.col("rep").alias("u"))).distinct()
     sets = cut(docs.join(small(cut(ids, m + 2 * p)), F.col("doc_id") == F.col("u"), "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"))
     both = survivors.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
     links = cut(both.mapInArrow(_exact(percent), "u long, v long").distinct(), p)
-    comps = cut(components(links), 2 * p)
+    comps = cut(components(links, p), 2 * p)
 
     # Buckets whose members are still in different components: those outside the bucket's main
     # component (side 0) with all (side 1), in blocks.
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     new = left.unionByName(right).join(full, "rep").groupBy("main", "i", "j").applyInArrow(_compare_block(bounds, percent), "u long, v long")
     new = cut(new.distinct(), m)
     if not new.isEmpty():
-        comps = components(links.unionByName(new))
+        comps = components(links.unionByName(new), p + m)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

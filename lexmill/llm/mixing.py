@@ -102,6 +102,6 @@ def mix(docs: DataFrame, weights: list[float], **options) -> DataFrame:
     columns of ``docs``, whatever their names. Repeated rows all follow the largest number of copies among them."""
     picked = plan(docs, weights, **options).groupBy("doc_id", "source", "tie").agg(F.max("copies").alias("_copies"))
     picked = picked.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie"))
-    held = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
-    return held.join(picked, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
+    same = F.col("_key").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_tie"))
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), F.col("source").alias("_from"), F.xxhash64("text").alias("_hash"))
+    return held.join(small(cut(picked, docs.count())), same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -140,17 +140,18 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``<kind>``; spans that overlap
     become one, named after the first. Other columns stay, whatever their names, but n_chars follows the text where it is there."""
     spans = scan(docs, scope).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans")).distinct()
+    text = F.col("_row").getField("text")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
         new = s["begin"] >= acc["at"]
-        more = F.when(new, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["begin"] - acc["at"]), F.element_at(names, s["kind"] + 1))).otherwise("")
+        more = F.when(new, F.concat(F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), F.element_at(names, s["kind"] + 1))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.concat(acc["text"], more).alias("text"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    held = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    out = held.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left")
-    out = out.select("_row", "_spans", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean).alias("_clean"))
+    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_hash"))
+    out = held.join(small(cut(spans, docs.count())), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left")
+    out = out.select("_row", "_spans", F.when(F.col("_spans").isNull(), text).otherwise(clean).alias("_clean"))
     own = {c: F.col("_row").getField(c) for c in docs.columns}
     own |= {"text": F.col("_clean")} | ({"n_chars": F.coalesce(F.when(F.col("_spans").isNotNull(), F.length("_clean").cast("long")), own["n_chars"])} if "n_chars" in own else {})
     return out.select(*[c.alias(name) for name, c in own.items()])

@@ -144,15 +144,15 @@ def starts_within(offsets: np.ndarray, k: int) -> np.ndarray:
     return np.arange(n) + k <= end
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges (u long, v long)``: rows ``(node, component)`` for
+def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 60) -> DataFrame:
+    """Connected components of ``edges (u long, v long)``, no more than ``rows``: rows ``(node, component)`` for
     every node of an edge, the component named by its smallest node.
 
     Alternates the large-star and small-star steps on the edge list. Each round takes a
     map-side minimum before it shuffles, and cuts it, so that the join with the edges of a node
     with many neighbours can be split. Rounds needed grow with the logarithm of the longest path.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     before, rows = None, e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
