@@ -23,7 +23,7 @@ TOKENS = 1_000_000
 def spread(df: DataFrame) -> DataFrame:
     """Texts of a table with fewer files than there are cores, dealt to all of these: a file may be one group of rows, which one task reads."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
+    files = len(df._jdf.inputFiles())  # counted in the JVM: their names stay there
     return df.repartition(cores) if 0 < files < cores else df
 
 
