@@ -180,7 +180,8 @@ def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
     """
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     words = labelled.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = cut(words.mapInArrow(_count_grams, "lang string, kind int, code long, n long").groupBy("lang", "kind", "code").agg(F.sum("n").alias("n")))
+    counts = words.mapInArrow(_count_grams, "lang string, kind int, code long, n long").groupBy("lang", "kind", "code").agg(F.sum("n").alias("n"))
+    counts = cut(counts.coalesce(max(1, labelled.rdd.getNumPartitions())))  # less than the texts, so in no more files than their parts
     # A count's number of entries, from which the least count that finds room follows: a few thousand rows.
     levels: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for lang, kind, n, rows in counts.groupBy("lang", "kind", "n").agg(F.count("*")).collect():
