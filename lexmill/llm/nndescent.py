@@ -4,7 +4,8 @@ A graph of each vector's nearest neighbours under its label begins with the neig
 together, in as many tables as each label's size asks for (a small label is compared whole), and is refined by joining neighbours of neighbours: around every vector, its neighbours (both ways) are compared
 with each other and offered to each other's lists. Lists hold ``K``. A list that is full of links, saturated, is too
 short: it is enlarged to the whole pool that the links found so far connect it to, compared in blocks without
-emitting the pairs. Recall is audited on uniformly drawn vectors against all others, each that has links counting the same,
+emitting the pairs. Only a link between two saturated vectors can be cut from both lists, so the saturated vectors of a label are
+also compared across pools, all of them, and pools with a link between them become one. Recall is audited on uniformly drawn vectors against all others, each that has links counting the same,
 and more tables with longer lists follow while it is short, until every label is compared whole. Links are checked in double precision; edges under the threshold are dropped.
 """
 
@@ -95,7 +96,35 @@ def _buckets(threshold: float, more: float, seed: int):
     return run
 
 
-def _offer(most: int, k: int, threshold: float):
+def _by_part(group: Callable, names: list[str]) -> Callable:
+    """``group`` for the columns (a dict of arrays) of each (hub, part), of rows in their order; its arrays in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def flush(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
+            columns = {c: (_matrix(table.column(c).combine_chunks()) if c == "vector" else table.column(c).to_numpy())[:upto] for c in table.column_names}
+            edges = np.flatnonzero((np.diff(columns["hub"]) != 0) | (np.diff(columns["part"]) != 0)) + 1
+            found = [group({c: x[a:b] for c, x in columns.items()}) for a, b in zip([0, *edges], [*edges, upto], strict=True) if b - a > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(len(names))], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            hub, part = held.column("hub").to_numpy(), held.column("part").to_numpy()
+            edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(part) != 0)) + 1
+            if len(edges):
+                yield from flush(held, int(edges[-1]))
+                held = held.slice(int(edges[-1])).combine_chunks()
+        if held is not None:
+            yield from flush(held, held.num_rows)
+
+    return run
+
+
+def _offer(most: int, k: int, threshold: float) -> Callable:
     """Rows (hub, part, id, vector), those of one hub and part together: compare them all, and offer each the ``most``
     nearest, and up to ``k`` that are links."""
 
@@ -119,30 +148,7 @@ def _offer(most: int, k: int, threshold: float):
         u, v, sim = (np.concatenate([f[c] for f in found]) for c in range(3))
         return u, v, sim
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
-            hub, part = table.column("hub").to_numpy()[:upto], table.column("part").to_numpy()[:upto]
-            edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(part) != 0)) + 1
-            ids, x = table.column("id").to_numpy()[:upto], _matrix(table.column("vector").combine_chunks())[:upto]
-            found = [group(ids[a:b], x[a:b]) for a, b in zip([0, *edges], [*edges, upto], strict=True) if b - a > 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], names=["u", "v", "sim"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            hub, part = held.column("hub").to_numpy(), held.column("part").to_numpy()
-            edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(part) != 0)) + 1
-            if len(edges):
-                yield from flush(held, int(edges[-1]))
-                held = held.slice(int(edges[-1])).combine_chunks()
-        if held is not None:
-            yield from flush(held, held.num_rows)
-
-    return run
+    return _by_part(lambda rows: group(rows["id"], rows["vector"]), ["u", "v", "sim"])
 
 
 def _offers(rows: DataFrame, most: int, k: int, threshold: float) -> DataFrame:
@@ -151,14 +157,14 @@ def _offers(rows: DataFrame, most: int, k: int, threshold: float) -> DataFrame:
 
 
 def _dealt(start: DataFrame) -> DataFrame:
-    """Buckets (hub, id, vector) with a part: a bucket of more than two parts' worth is cut by a hash, and every two of
+    """Buckets (hub, id, vector, ...) with a part: a bucket of more than two parts' worth is cut by a hash, and every two of
     its cuts make a part, so that each pair of its vectors meets."""
     crowded = start.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("long").alias("cuts")).where("cuts > 2")
     own = F.pmod(F.xxhash64("id", "hub"), F.col("cuts"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda j: j != F.col("own"))
     parts = F.transform(others, lambda j: F.least("own", j) * F.col("cuts") + F.greatest("own", j))
     some = start.join(small(cut(crowded)), "hub", "left").withColumn("own", own)
-    return some.select("hub", F.explode(F.coalesce(parts, F.array(F.lit(0).cast("long")))).alias("part"), "id", "vector")
+    return some.select("hub", F.explode(F.coalesce(parts, F.array(F.lit(0).cast("long")))).alias("part"), *[c for c in start.columns if c != "hub"])
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -198,6 +204,48 @@ def _pool(threshold: float) -> Callable:
     return run
 
 
+def _bridge(threshold: float) -> Callable:
+    """Rows (hub, part, id, vector, component): the pairs of components of a part with a link between them."""
+
+    def group(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(rows["component"], kind="stable")
+        comp, x = rows["component"][order], rows["vector"][order]
+        y = x / np.sqrt((x * x).sum(1, keepdims=True))
+        found = [np.zeros((0, 2), np.int64)]
+        for a in range(0, len(comp), 256):
+            behind = int(np.searchsorted(comp, comp[a], "right"))
+            if behind == len(comp):
+                break
+            s = y[a : a + 256] @ y[behind:].T
+            near = s >= threshold
+            i, j = np.nonzero(np.abs(s - threshold) < 1e-9)  # so near that the order of sums matters
+            if len(i):
+                near[i, j] = cosines(x[a + i], x[behind + j]) >= threshold
+            i, j = np.nonzero(near & (comp[a : a + 256, None] < comp[None, behind:]))
+            found.append(np.unique(np.stack([comp[a + i], comp[behind + j]], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    return _by_part(group, ["u", "v"])
+
+
+def _joined(nodes: DataFrame, comps: DataFrame, full: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """``comps`` (id, component), components with a link between saturated vectors (``full``) made one: every two such
+    vectors of a label in different components are compared."""
+    own = cut(comps.join(full, "id").join(nodes.select("id", "label"), "id"), rows)
+    several = cut(own.groupBy("label").agg(F.countDistinct("component").alias("n")).where("n > 1").select("label"), rows)
+    if several.isEmpty():
+        return comps
+    some = own.join(small(several), "label").join(nodes.select("id", "vector"), "id").select(F.xxhash64("label").alias("hub"), "id", "vector", "component")
+    dealt = _dealt(some).repartition("hub", "part").sortWithinPartitions("hub", "part")
+    pairs = cut(dealt.mapInArrow(_bridge(threshold), "u long, v long").distinct())
+    n = pairs.count()
+    if n == 0:
+        return comps
+    to = components(pairs, n).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(comps.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), rows)
+
+
 def _audit(threshold: float, sample: list[tuple[int, str, bytes]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, labels = np.array([s[0] for s in sample]), np.stack([np.frombuffer(s[2]) for s in sample]), {}
@@ -239,14 +287,17 @@ def _recall(true: DataFrame, found: DataFrame) -> float:
     return 1.0 if recall is None else recall
 
 
-def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, links, component) of nodes that have links; from the lists, and for saturated ones from their pools."""
+def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, links, component) of nodes that have links; from the lists, and for saturated ones from their pools. Also the saturated ones, with those of
+    shorter lists ``before``: what these lists cut stays cut when they grow."""
     near = lists.where(F.col("sim") >= threshold - 1e-6).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     vec = nodes.select("id", "vector")
     most = lists.count()
     edges = cut(near.join(vec.withColumnsRenamed({"id": "u", "vector": "a"}), "u").join(vec.withColumnsRenamed({"id": "v", "vector": "b"}), "v").select("u", "v", "a", "b").mapInArrow(_exact(threshold), "u long, v long"), most)
     comps = cut(components(edges, most).withColumnRenamed("node", "id"), 2 * most)
     full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold - 1e-6)).select(F.col("u").alias("id"))
+    full = cut(full if before is None else full.unionByName(before).distinct(), most)
+    comps = _joined(nodes, comps, full, threshold, 2 * most)
     pools = cut(comps.join(full, "id").select("component").distinct(), most)
     pooled = comps.join(pools, "component")
     sizes = pooled.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
@@ -286,7 +337,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) ->
     sizes = cut(nodes.groupBy("label").agg(F.count("*").alias("size")), n)
     sized = cut(nodes.select("id", "label", "vector").join(small(sizes), "label"), n)
     true = _truth(nodes, n, threshold)
-    lists = None
+    lists = full = None
     for attempt in itertools.count():
         more = 2.0**attempt  # so many times the tables; in the end every label is compared whole
         start = sized.mapInArrow(_buckets(threshold, more, attempt), "hub long, id long, vector binary")
@@ -301,7 +352,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) ->
             lists = new
             if changed <= LEAST_CHANGE * n * k:
                 break
-        found, _ = _links(nodes, lists, k, threshold)
+        found, full = _links(nodes, lists, k, threshold, full)
         recall = _recall(true, found)
         if recall >= LEAST_RECALL or all(tables_for(r["size"], threshold, more)[0] == 0 for r in sizes.select("size").distinct().collect()):
             break

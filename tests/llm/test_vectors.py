@@ -112,6 +112,35 @@ def test_near_duplicates_in_a_hot_label_and_a_crowded_bucket(spark, monkeypatch)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == expected and got[0].audit_recall == 1.0
 
 
+@pytest.mark.parametrize("part", [2048, 8])
+def test_near_duplicates_keep_a_link_between_crowds_whose_lists_are_full(spark, monkeypatch, part):
+    monkeypatch.setattr(nndescent, "PART", part)
+    rng = np.random.default_rng(4)
+
+    def at(degrees, noise):
+        v = np.concatenate([[math.cos(math.radians(degrees)), math.sin(math.radians(degrees))], noise])
+        return v.astype(np.float32).tolist()
+
+    rows = []
+    for label, (a, b) in enumerate([(2.5, 21.5), (1.0, 23.0)]):  # one link between two crowds; none
+        for crowd, (centre, edge) in enumerate([(0, a), (24, b)]):
+            rows += [(100 * label + 50 * crowd + i, at(centre, 0.02 * rng.standard_normal(14)), label) for i in range(20)]
+            rows += [(100 * label + 50 * crowd + 20, at(edge, [0.0] * 14), label)]
+    expected = brute(rows)
+    assert expected[20] == (21, 0) and expected[70] == (21, 0) and expected[170][1] == 150  # nearer to 20 of its own crowd than to the other
+    got = nndescent.near_duplicates(table(spark, rows)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == expected
+
+
+def test_saturated_stays_saturated_in_longer_lists(spark):
+    nodes = spark.createDataFrame([(i, "a", 1, np.array([1.0, 0.01 * i]).tobytes()) for i in range(6)], "id long, label string, n long, vector binary")
+    lists = spark.createDataFrame([(0, 1, 0.99995), (1, 0, 0.99995), (2, 3, 0.99995), (3, 2, 0.99995), (4, 5, 0.99995), (5, 4, 0.99995)], "u long, v long, sim double")
+    _, full = nndescent._links(nodes, lists, 1, 0.93)
+    assert full.count() == 6
+    found, full = nndescent._links(nodes, lists, 2, 0.93, full)
+    assert full.count() == 6 and {tuple(r) for r in found.select("id", "links", "component").collect()} == {(i, 5, 0) for i in range(6)}
+
+
 def test_recall_counts_each_vector_the_same(spark):
     true = spark.createDataFrame([(1, 1000), (2, 1), (3, 1), (4, 2)], "id long, true long")
     found = spark.createDataFrame([(1, 1000, 1), (4, 1, 4)], "id long, links long, component long")
