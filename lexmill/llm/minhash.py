@@ -78,9 +78,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string())
     if pc.any(pc.match_substring_regex(texts, "[A-Z]")).as_py():
         s = pc.fill_null(texts, "")
-        raw = np.frombuffer(s.buffers()[2] or b"", np.uint8).copy()
+        ends = np.frombuffer(s.buffers()[1], np.int64)[s.offset : s.offset + len(s) + 1]
+        raw = np.frombuffer(s.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy()  # a slice shares the letters of its whole batch
         raw[(raw >= 65) & (raw <= 90)] += 32
-        texts = pa.LargeStringArray.from_buffers(len(s), s.buffers()[1], pa.py_buffer(raw), offset=s.offset)
+        texts = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends - ends[0]), pa.py_buffer(raw))
     words, off = words_of(texts)
     idx, vocab = coded(words)
     h = word_hashes(vocab)[idx]

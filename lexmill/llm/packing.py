@@ -28,8 +28,8 @@ from .shared import coded, cut, slices, words_of
 #: Pieces that one task packs, at most about.
 PART_PIECES = 100_000
 #: Bytes, about, of distinct parts and their ids that a worker keeps from one slice of texts, and one task, to the next; bytes of one part besides its
-#: letters; parts encoded together; characters of a slice.
-CACHE_BYTES, PART_BYTES, TOGETHER, CHARS = 80_000_000, 180, 1_000, 4_000_000
+#: letters; parts encoded as one text, and in one call; characters of a slice.
+CACHE_BYTES, PART_BYTES, TOGETHER, AT_ONCE, CHARS = 80_000_000, 180, 1_000, 8_000, 2_000_000
 ASCII_UPPER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,!?*&%$#|;:", np.uint8))
@@ -69,11 +69,12 @@ class WordTokenizer:
         """Words, with A-Z lower-cased and punctuation behind an ASCII letter parted from it. Texts in
         which a special token might stand are only cut at white space."""
         s = pc.fill_null(texts.cast(pa.large_string()), "")
-        if s.offset or pc.any(pc.match_substring(s, "<|")).as_py():
+        if pc.any(pc.match_substring(s, "<|")).as_py():
             return words_of(s)
-        raw = np.frombuffer(s.buffers()[2] or b"", np.uint8)
-        ends = np.frombuffer(s.buffers()[1], np.int64)[: len(s) + 1]
-        raw = raw[: ends[-1]] | ASCII_UPPER[raw[: ends[-1]]]
+        ends = np.frombuffer(s.buffers()[1], np.int64)[s.offset : s.offset + len(s) + 1]
+        raw = np.frombuffer(s.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]  # a slice shares the letters of its whole batch
+        ends = ends - ends[0]
+        raw = raw | ASCII_UPPER[raw]
         at = np.flatnonzero(LETTER[raw[:-1]] & PUNCTUATION[raw[1:]]) + 1
         new = np.insert(raw, at, 32)
         return words_of(pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends + np.searchsorted(at, ends)), pa.py_buffer(new)))
@@ -98,9 +99,9 @@ class WordTokenizer:
                 joined.append(w)
         first, size, pool, base = [self.first], [self.size], [self.pool], len(self.pool)
         for tokenizer, parts, step in ((self.plain, easy, TOGETHER if self.mark else 1), (self.tokenizer, joined, TOGETHER if self.mark else 1), (self.tokenizer, alone, 1)):
-            if parts:
-                texts = [self.mark.join(parts[a : a + step]) for a in range(0, len(parts), step)]
-                lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            for a in range(0, len(parts), AT_ONCE):  # the library's own results take far more room than the ids
+                some = parts[a : a + AT_ONCE]
+                lists = [e.ids for e in tokenizer.encode_batch_fast([self.mark.join(some[b : b + step]) for b in range(0, len(some), step)], add_special_tokens=False)]
                 if step == 1:
                     n = np.array([len(x) for x in lists], np.int64)
                     ids = np.array([i for x in lists for i in x], np.uint32)

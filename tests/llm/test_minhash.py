@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,16 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_a_slice_takes_no_room_for_the_rest_of_its_batch():
+    texts = pa.array([f"Some Words, {i} " * 4_000 for i in range(200)], pa.large_string())
+    tracemalloc.start()
+    try:
+        x, off = minhash.shingle_sets(texts.slice(198, 1), 5)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    same, _ = minhash.shingle_sets(pa.array(["some words, 198 " * 4_000]), 5)
+    assert x.tolist() == same.tolist() and off.tolist() == [0, 3]
+    assert most < 4_000_000 < texts.nbytes

@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -87,3 +88,25 @@ def test_words_are_encoded_as_in_the_whole_text():
     ids, off = t.encode(pa.array(texts, pa.string()))
     for i, x in enumerate(texts):
         assert ids[off[i] : off[i + 1]].tolist() == [*t.tokenizer.encode(x or "", add_special_tokens=False).ids, 1]
+
+
+def test_a_slice_takes_no_room_for_the_rest_of_its_batch():
+    own = packing.WordTokenizer(tokenizer_path(), 1)
+    texts = pa.array([f"Some Words, {i} " * 4_000 for i in range(200)])
+    tracemalloc.start()
+    try:
+        parts, off = own.parts_of(texts.slice(198, 2))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert parts.to_pylist() == ["some", "words", ",", "198"] * 4_000 + ["some", "words", ",", "199"] * 4_000 and off.tolist() == [0, 16_000, 32_000]
+    assert most < 4_000_000 < texts.nbytes
+
+
+def test_parts_encoded_in_several_calls(monkeypatch):
+    rows = pa.array([" ".join(f"Wörd{i}x word{chr(97 + i % 26)}{chr(97 + i // 26)}." for i in range(a, a + 60)) for a in range(0, 600, 40)], pa.large_string())
+    whole = packing.WordTokenizer(tokenizer_path(), 1).encode(rows)
+    for name in ("TOGETHER", "AT_ONCE"):
+        monkeypatch.setattr(packing, name, 10)
+    few = packing.WordTokenizer(tokenizer_path(), 1).encode(rows)
+    assert all((a == b).all() for a, b in zip(whole, few, strict=True))
