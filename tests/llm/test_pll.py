@@ -50,6 +50,14 @@ def test_edges_and_probabilities(spark, rng):
     assert np.allclose(net.log_probabilities(line, at), [plain(net, line, x) for x in at], atol=1e-5)
 
 
+def test_softmax_of_columns():
+    x = np.random.default_rng(2).standard_normal((32, 7)).astype(np.float32) * 20
+    e = np.exp(x.astype(float) - x.max(0))
+    assert np.allclose(pll._softmax(x.copy()), e / e.sum(0), atol=1e-6)
+    row = np.arange(7) * 4
+    assert np.allclose(pll._own(x.copy(), row), np.log((e / e.sum(0))[row, np.arange(7)]), atol=1e-4)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     net = pll.Network.new(np.zeros(pll.BUCKETS, np.int32))
