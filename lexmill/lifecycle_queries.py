@@ -18,6 +18,7 @@ from .queries import _TOKENS, _folder, _indexed, documents, query, table
 from .schema import IndexType, SearchSchema
 from .sources import storage
 from .sources.codecs import json_codec
+from .sources.files import settled
 from .streaming import replicas
 from .streaming.microbatch import apply_batch
 from .streaming.reads import ReadOptions, ReadPolicy
@@ -205,7 +206,8 @@ def natural_order(spark, sf_dir):
     """Rows come in the order of their ids: each one's place in what the search returns."""
     s = table(spark, sf_dir, "orders", "o_orderkey")
     found = s.search(p.eq(s.schema.field("o_orderstatus"), "P")).select("o_orderkey")
-    parts = found.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # Settled with their parts: another run may draw other ranges, put parts together otherwise, or leave out the sort under a count.
+    parts = settled(found.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     before = parts.groupBy("part").count().collect()  # a row per partition
     start, total = {}, 0
     for part, n in sorted((x[0], x[1]) for x in before):

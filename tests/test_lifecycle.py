@@ -178,3 +178,15 @@ def test_replicas(spark, tmp_path):
     for bad in ({"acks": 3}, {"peers": 0}, {"most_behind": 0}):
         with pytest.raises(InvalidArgument):
             replicas.ReplicationBounds(**bad)
+
+
+def test_places_hold_where_results_have_parts(spark, tmp_path):
+    from lexmill.lifecycle_queries import natural_order
+
+    spark.range(4000).select((F.col("id") * 7 % 4000).alias("o_orderkey"), F.when(F.col("id") % 100 < 60, "P").otherwise("O").alias("o_orderstatus")).repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    expected = sorted(i * 7 % 4000 for i in range(4000) if i % 100 < 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted((x.place, x.o_orderkey) for x in natural_order(spark, str(tmp_path)).collect()) == list(enumerate(expected))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
