@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,16 @@ def hits(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.round("score", 6).alias("score"))
 
 
+def sql_between(f: Field, low: float, high: float) -> p.Query:
+    """SQL's range. To SQL both zeros are one value; the engine puts -0.0 before 0.0, so a bound of zero is the outer one."""
+    return p.between(f, -0.0 if low == 0 else low, 0.0 if high == 0 else high)
+
+
+def sql_round(name: str, digits: int) -> Column:
+    """SQL's rounding, which keeps the sign of zero where Spark's drops it."""
+    return F.when(F.round(name, digits) == 0, F.col(name) * 0.0).otherwise(F.round(name, digits)).alias(name)
+
+
 # -- structured conditions
 
 
@@ -436,7 +446,7 @@ def durable_changes(spark, sf_dir):
         e.apply_frame("remove", df.where("c_custkey % 7 = 0"))
     with SearchEngine(spark, schema, path) as e:
         e.apply_frame("add", df.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
-        return e.search(p.between(balance, 0.0, 5000.0)).select("c_custkey", "c_name", F.round("c_acctbal", 4).alias("c_acctbal"))
+        return e.search(sql_between(balance, 0.0, 5000.0)).select("c_custkey", "c_name", sql_round("c_acctbal", 4))
 
 
 @query("SELECT p_partkey, p_name FROM part")

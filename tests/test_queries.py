@@ -41,3 +41,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def zeros(spark, folder, name):
+    """A query and its SQL, as text, which tells -0.0 from 0.0, over customers with both zeros."""
+    balances = {1: -0.0, 2: 0.0, 3: 5.5, 4: -0.01, 5: -100.0, 7: -0.0, 10: -1.0, 11: -0.0, 50: -0.0, 51: None, 52: 3000.0, 53: 5000.0, 54: -0.0}
+    rows = [(k, f"Customer#{k}", b) for k, b in balances.items()]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+    df = core.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
+    expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({core.SQL[name]})").fetchall()
+    assert "-0.0" in str(expected)
+    return sorted(str(tuple(r)) for r in df.collect()), sorted(map(str, expected))
+
+
+def test_zeros_of_durable_changes(spark, tmp_path):
+    got, expected = zeros(spark, tmp_path, "durable_changes")
+    assert got == expected
