@@ -526,7 +526,7 @@ def index_build_beside_writes(spark, sf_dir):
         e.apply_frame("update", df.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 100))
         e.apply_frame("remove", df.where("c_custkey % 11 = 0"))
         built.result(600)
-        return e.search(p.between(balance, 0.0, 3000.0)).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
+        return e.search(sql_between(balance, 0.0, 3000.0)).select("c_custkey", sql_round("c_acctbal", 4))
 
 
 # -- explanations and highlights

@@ -59,3 +59,8 @@ def zeros(spark, folder, name):
 def test_zeros_of_durable_changes(spark, tmp_path):
     got, expected = zeros(spark, tmp_path, "durable_changes")
     assert got == expected
+
+
+def test_zeros_of_index_build_beside_writes(spark, tmp_path):
+    got, expected = zeros(spark, tmp_path, "index_build_beside_writes")
+    assert got == expected
