@@ -61,8 +61,10 @@ def sql_between(f: Field, low: float, high: float) -> p.Query:
 
 
 def sql_round(name: str, digits: int) -> Column:
-    """SQL's rounding, which keeps the sign of zero where Spark's drops it."""
-    return F.when(F.round(name, digits) == 0, F.col(name) * 0.0).otherwise(F.round(name, digits)).alias(name)
+    """DuckDB's rounding: scaled in binary, where Spark goes by decimal digits, which differs at ties; and zero keeps its sign."""
+    c, scale = F.col(name), 10.0**digits
+    whole = F.round(c * scale, 0)
+    return F.when(whole == 0, c * 0.0).when(F.abs(whole) < float("inf"), whole / scale).otherwise(c).alias(name)
 
 
 # -- structured conditions

@@ -64,3 +64,12 @@ def test_zeros_of_durable_changes(spark, tmp_path):
 def test_zeros_of_index_build_beside_writes(spark, tmp_path):
     got, expected = zeros(spark, tmp_path, "index_build_beside_writes")
     assert got == expected
+
+
+def test_sql_round(spark):
+    values = [None, -0.0, 0.0, 0.00005, -0.00005, -0.00001, 2.5, -999.99, 1e305, float("inf"), float("-inf"), float("nan"), *[(k * 13 - 4000) / 1e5 for k in range(2000)]]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = {r.id: str(r.v) for r in df.select("id", core.sql_round("v", 4)).collect()}
+    con = duckdb.connect()
+    assert got == {i: str(con.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0]) for i, v in enumerate(values)}
+    assert got != {r.id: str(r.v) for r in df.select("id", core.F.round("v", 4).alias("v")).collect()}
